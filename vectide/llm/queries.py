@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, substring_dedup, suffix_dedup
+from . import bpe_codec, decontaminate, lm_score, substring_dedup, suffix_dedup, warc_bundles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.digest(_table(spark, sf_dir, "pages"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.digest(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate)}
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_bundles, op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate, op10_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {}
