@@ -254,13 +254,13 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
     if with_ids:
         extra.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType([*docs.schema.fields, *extra])
-    arrow = to_arrow_schema(schema)
+    arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
             n, ids_sha, text_sha, held = [], [], [], []
-            for ids, back in encode_batch(c, batch.column(docs.columns.index(text_col)), every):
+            for ids, back in encode_batch(c, batch.column(at), every):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(back).hexdigest())
@@ -279,12 +279,12 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
 def decode(encoded: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give a null text."""
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
-    arrow = to_arrow_schema(schema)
+    arrow, at = to_arrow_schema(schema), encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            out = [None if x is None else c.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in batch.column(encoded.columns.index(ids_col)).to_pylist()]
+            out = [None if x is None else c.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             columns = [x.cast(t.type) for x, t in zip([*batch.columns, pa.array(out, pa.string())], arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
