@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, lm_score, quality_resample, substring_dedup, suffix_dedup, toxicity, warc_bundles
+from . import bpe_codec, decontaminate, lm_score, quality_resample, quality_rules, substring_dedup, suffix_dedup, toxicity, warc_bundles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.digest(_table(spark, sf_dir, "pages"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,5 +47,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_bundles, op4_quality_resample, op5_toxicity, op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_warc_bundles, op3_quality_rules, op4_quality_resample, op5_toxicity, op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate, op10_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {}
