@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, lm_score, quality_resample, quality_rules, substring_dedup, suffix_dedup, toxicity, warc_bundles
+from . import bpe_codec, decontaminate, lm_score, ngram_join, quality_resample, quality_rules, substring_dedup, suffix_dedup, toxicity, warc_bundles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.digest(_table(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_bundles, op3_quality_rules, op4_quality_resample, op5_toxicity, op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc_bundles, op3_quality_rules, op4_quality_resample, op5_toxicity, op6_lm_score, op7_substring_dedup, op8_suffix_dedup, op9_decontaminate, op10_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {}
