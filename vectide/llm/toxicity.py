@@ -124,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(out, pa.binary())], names=["id", "y", "pairs"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if table.num_rows:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
             table = table.sort_by([("id", "ascending"), ("pairs", "ascending")])
             y = table.column("y").to_numpy()
             pairs = [np.frombuffer(x, np.int64) for x in table.column("pairs").to_pylist()]
