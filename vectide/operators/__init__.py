@@ -1 +1 @@
-
+"""Operators on vectors, graphs, codes and segments."""

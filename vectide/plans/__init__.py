@@ -1,6 +1,5 @@
 """The registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from .catalog import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
