@@ -39,11 +39,11 @@ def kind_of(path: str, kind: str | None = None) -> str:
 
 @dataclass
 class Records(InputPartition):
+    """A range of records, of ``dim`` dimensions each."""
+
     first: int
     count: int
-
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    dim: int
 
 
 class VecsReader(DataSourceReader):
@@ -60,28 +60,31 @@ class VecsReader(DataSourceReader):
             size = f.size()
         if not len(head) or head[0] < 1:
             raise ValueError(f"{self.path} has no records")
-        self.dim = int(head[0])
-        self.stride = 4 + self.dim * self.dtype.itemsize
-        n = size // self.stride
+        dim = int(head[0])
+        n = size // self.stride(dim)
         n = min(n, self.limit) if self.limit else n
         if not n:
             raise ValueError(f"{self.path} has no whole record")
-        return [Records(i, min(self.step, n - i)) for i in range(0, n, self.step)]
+        return [Records(i, min(self.step, n - i), dim) for i in range(0, n, self.step)]
+
+    def stride(self, dim: int) -> int:
+        return 4 + dim * self.dtype.itemsize
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
+        stride = self.stride(part.dim)
         with open_file(self.path) as f:
-            f.seek(part.first * self.stride)
-            raw = np.frombuffer(f.read(part.count * self.stride), np.uint8).reshape(-1, self.stride)
+            f.seek(part.first * stride)
+            raw = np.frombuffer(f.read(part.count * stride), np.uint8).reshape(-1, stride)
         dims = raw[:, :4].copy().view("<i4").ravel()
-        wrong = np.flatnonzero(dims != self.dim)
+        wrong = np.flatnonzero(dims != part.dim)
         if len(wrong):
             if dims[wrong[0]] >= 1:
-                raise ValueError(f"{self.path}: record {part.first + wrong[0]} has {dims[wrong[0]]} dimensions, the first {self.dim}")
+                raise ValueError(f"{self.path}: record {part.first + wrong[0]} has {dims[wrong[0]]} dimensions, the first {part.dim}")
             raw = raw[: wrong[0]]
         for i in range(0, len(raw), 10_000):
             rows = raw[i : i + 10_000, 4:].copy().view(self.dtype)
             flat = pa.array(rows.ravel().astype(self.arrow.to_pandas_dtype()))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, self.dim, dtype=np.int32)), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, part.dim, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first + i, part.first + i + len(rows))), lists], names=["vec_id", "embedding"])
 
 
