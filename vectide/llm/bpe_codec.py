@@ -152,16 +152,13 @@ class Codec:
         # stretches that lie in one chunk belong to it; the others are joins
         chunk = np.searchsorted(cut, safe, "right") - 1
         whole = stretch_end <= cut_end[chunk]
-        last_of_text = np.isin(stretch_end, offs[1:])
-        first_of_chunk = safe == cut[chunk]
-        whole &= ~((stretch_end == cut_end[chunk]) & ~last_of_text) | np.isin(stretch_end, safe)
-        del first_of_chunk
         lo, hi = np.searchsorted(safe, cut), np.searchsorted(safe, cut_end)
-        count = np.zeros(len(safe), np.int64)
         # a chunk's kept part: its whole stretches
         cum = np.r_[0, np.cumsum(whole)]
         n_in = cum[hi] - cum[lo]
-        key = bs.mix(bs.span_hash(pre, cut, cut_end) + (cut_end - cut).astype(U) * U(8) + np.isin(cut_end, offs[1:]).astype(U) * U(2) + np.isin(cut, offs[:-1]).astype(U))
+        # what is whole also depends on whether the chunk's own ends are safe
+        ends = np.isin(cut, safe) * 2 + (np.isin(cut_end, safe) | (cut_end == len(buf)))
+        key = bs.mix(bs.span_hash(pre, cut, cut_end) + ((cut_end - cut) * 4 + ends).astype(U))
         distinct, first = np.unique(key, return_index=True)
         inverse = np.searchsorted(distinct, key)
         at, found = self.chunks.find(distinct)
@@ -186,7 +183,7 @@ class Codec:
         begin[in_place] = made
         kept_count[~found], kept_start[~found] = per_chunk[new], begin + len(pool)
         pool = np.concatenate([pool, ids[:inner_ids]])
-        join_start = inner_ids + len(pool) + np.cumsum(c[len(inner) :]) - c[len(inner) :] - inner_ids
+        join_start = len(pool) + np.cumsum(c[len(inner) :]) - c[len(inner) :]
         pool = np.concatenate([pool, ids[inner_ids:]])
         # put chunks and joins in order: a chunk's kept part stands at its first whole stretch
         some = np.flatnonzero(n_in > 0)
@@ -197,18 +194,13 @@ class Codec:
         source = np.concatenate([kept_start[inverse[some]], join_start])[order]
         out = pool[spans(source, size)]
         text = np.searchsorted(offs, safe[where[order]], "right") - 1
-        self.chunks.add(distinct[~found], kept_count[~found], _in_order(ids[:inner_ids], begin, kept_count[~found]))
-        del count
+        self.chunks.add(distinct[~found], kept_count[~found], ids[spans(begin, kept_count[~found])])
         return np.bincount(text, weights=size, minlength=n).astype(np.int64), out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[spans(self.start[ids], self.size[ids])]
 
 
-def _in_order(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return ids[spans(start, count)]
-
-
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
