@@ -236,7 +236,8 @@ def test_decontaminate_brute_force(spark, docs, empty, monkeypatch, piece):
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a b x c d e f g h i"), (2, "a b c d e f g h"), (3, "h g f e d c b a")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string")
-    got = {r.doc_id: r for r in decontaminate.digest(df, bench).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(df, bench).collect()}
+    assert got[2].hit_spans == [0, 8]
     assert (got[1].n_items, got[1].n_near) == (0, 1)
     assert (got[2].n_items, got[2].n_hit) == (1, 8)
     assert (got[3].n_items, got[3].n_near) == (0, 0)

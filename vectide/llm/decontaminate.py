@@ -149,34 +149,31 @@ def windows(items: list[tuple], width: int):
     return terms, size, [sorted(x) for x in found.values()], ids
 
 
-def _pieces(spark, items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The test items in pieces of a bounded number of bytes."""
+def _pieces(spark, items: DataFrame, id_col: str, text_col: str, width: int) -> Iterator:
+    """The windows of the test items, broadcast in pieces of a bounded number of bytes."""
     total = items.agg(F.sum(F.length(text_col).cast("bigint") * 4 + 64)).first()[0] or 0
     n = 1 + int(total) // PIECE_BYTES
     for k in range(n):
         piece = items if n == 1 else items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k)
-        yield [tuple(r) for r in piece.select(id_col, text_col).collect()]
+        yield spark.sparkContext.broadcast(windows([tuple(r) for r in piece.select(id_col, text_col).collect()], width))
 
 
-def find(index: DataFrame, items: list[tuple], width: int, slop: int) -> DataFrame:
+_HITS = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_near", pa.int64())])
+
+
+def find(index: DataFrame, query, slop: int) -> DataFrame:
     """Rows (block, row, n_words, spans, items, n_near): hit words as (start, end) pairs, item ids as strings."""
-    terms, size, owners, ids = windows(items, width)
-    query = index.sparkSession.sparkContext.broadcast((terms, size, owners, ids))
-    schema = "block bigint, row int, n_words bigint, spans array<bigint>, items array<string>, n_near bigint"
-    arrow = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_near", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, size, owners, ids = query.value
-        names = [str(i) for i in ids]
         for batch in batches:
             for block, postings in zip(batch.column("block").to_pylist(), batch.column("postings").to_pylist()):
-                yield _shard_rows(block, Shard(postings), terms, size, owners, names, slop, arrow)
+                yield _shard_rows(block, Shard(postings), *query.value, slop)
 
-    return index.select("block", "postings").mapInArrow(run, schema)
+    return index.select("block", "postings").mapInArrow(run, "block bigint, row int, n_words bigint, spans array<bigint>, items array<string>, n_near bigint")
 
 
-def _shard_rows(block, s: Shard, terms, size, owners, names, slop, arrow) -> pa.RecordBatch:
-    n = len(s.words)
+def _shard_rows(block, s: Shard, terms, size, owners, ids, slop) -> pa.RecordBatch:
+    n, names = len(s.words), [str(i) for i in ids]
     w, start, exact = s.search(terms, size, slop)
     near = np.bincount(s.doc(start[~exact]), minlength=n) if len(start) else np.zeros(n, np.int64)
     w, start = w[exact], start[exact]
@@ -193,7 +190,7 @@ def _shard_rows(block, s: Shard, terms, size, owners, names, slop, arrow) -> pa.
     pairs = np.unique(np.stack([s.doc(start), w]), axis=1) if len(w) else np.zeros((2, 0), np.int64)
     for d, k in pairs.T:
         items[d].update(owners[k])
-    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(names[k] for k in x) for x in items], pa.list_(pa.string())), pa.array(near, pa.int64())], schema=arrow)
+    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(names[k] for k in x) for x in items], pa.list_(pa.string())), pa.array(near, pa.int64())], schema=_HITS)
 
 
 def _union_spans(spans: list[list[int]]) -> list[int]:
@@ -210,17 +207,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """``docs`` (with the text if ``keep_text``) and n_words, n_hit, n_items, n_near, items_sha256, contaminated, hit_spans."""
     spark = docs.sparkSession
     index = build_index(docs, text_col, keep_text)
-    found = [find(index, piece, width, slop) for piece in _pieces(spark, items, item_id, item_text)]
-    hits = found[0]
-    if len(found) > 1:
-        for f in found[1:]:
-            hits = hits.unionByName(f)
-        hits = hits.groupBy("block", "row").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
-        hits = hits.select("block", "row", "n_words", F.udf(_union_spans, "array<bigint>")("many").alias("spans"), "items", "n_near")
     names = [c for c in docs.columns if c != text_col]
     extra = [T.StructField(x, T.LongType()) for x in ("n_words", "n_hit", "n_items", "n_near")] + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("hit_spans", T.ArrayType(T.LongType()))]
     schema = T.StructType([docs.schema[c] for c in names] + ([T.StructField(text_col, T.StringType())] if keep_text else []) + extra)
     arrow = to_arrow_schema(schema)
+    pieces = list(_pieces(spark, items, item_id, item_text, width))
+    if len(pieces) == 1:  # one pass over the index, without a shuffle
+        query = pieces[0]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, meta, body, postings in zip(*(batch.column(c).to_pylist() for c in ("block", "meta", "body", "postings"))):
+                    mail = _shard_rows(block, Shard(postings), *query.value, slop).to_pylist()
+                    yield from _result(meta, body, mail, names, keep_text, min_items, arrow).to_batches()
+
+        return index.mapInArrow(search, schema)
+    hits = None
+    for query in pieces:
+        one = find(index, query, slop)
+        hits = one if hits is None else hits.unionByName(one)
+    hits = hits.groupBy("block", "row").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
+    hits = hits.select("block", "row", "n_words", F.udf(_union_spans, "array<bigint>")("many").alias("spans"), "items", "n_near")
     # a shard's hits travel as one row to its block
     mail = hits.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "n_words", "spans", "items", "n_near"))).alias("mail"))
 
@@ -248,6 +255,6 @@ def _result(meta, body, mail, names, keep_text, min_items, arrow) -> pa.Table:
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The columns of ``op9``, and n_near: windows matched within ``SLOP`` words of place only."""
+    """The columns of ``op9``."""
     found = decontaminate(docs.select("doc_id", "text"), items.select("item_id", "text"), keep_text=False)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
