@@ -134,7 +134,7 @@ def test_substring_dedup(spark, docs, empty):
 
 def test_substring_dedup_brute_force(docs):
     def runs(t):
-        s = [m.group() for m in re.finditer(rb"[^\n]*?(?:[.!?](?=[\x20\x09-\x0D]|$)|\n|$)", t) if m.group()]
+        s = [m.group() for m in re.finditer(rb"[^\n]*?(?:[.!?;:,](?=[\x20\x09-\x0D]|$)|\n|$)", t) if m.group()]
         w = [WHITE.findall(x.lower()) for x in s]
         idx = [i for i, x in enumerate(w) if x]
         out = []

@@ -1,8 +1,9 @@
 """Sliding sentence spans: remove sentences of any non-first repeated span.
 
 Every run of several consecutive sentences is hashed and joined over all texts.
-A run starts at each sentence and takes the least number of sentences, two at
-least, that together have ``min_words`` words; shorter tails are no runs.
+Sentences are cut at clause marks as well (``CLAUSE_ENDS``). A run starts at each
+of them and takes the least number, two at least, that together have
+``min_words`` words; shorter tails are no runs.
 Words are runs of non-white-space with A-Z lower-cased, so spacing does not
 matter. The first occurrence is the one with the smallest (doc_id, position).
 
@@ -25,19 +26,22 @@ from .blocks import Block, answer, ask, deliver, frame, pack, per_block, split_p
 from .scratch import materialise, parts_for
 
 MIN_WORDS = 12
-_END = np.zeros(256, bool)
-_END[[0x21, 0x2E, 0x3F, 0x0A]] = True
+SENTENCE_ENDS = b".!?"
+#: Spans are made of clauses too, so that a passage that starts or ends inside a sentence shares whole units.
+CLAUSE_ENDS = b".!?;:,"
 
 
-def sentences(buf: np.ndarray, offs: np.ndarray):
-    """(starts, ends, row): a sentence ends after . ! ? that white space follows, at a line end, or with the text."""
+def sentences(buf: np.ndarray, offs: np.ndarray, marks: bytes = SENTENCE_ENDS):
+    """(starts, ends, row): a sentence ends after one of ``marks`` that white space follows, at a line end, or with the text."""
     n = len(buf)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, e
     nxt = np.full(n, 0x20, np.uint8)
     nxt[:-1] = buf[1:]
-    cut = _END[buf] & ((buf == 0x0A) | (nxt == 0x20) | ((nxt >= 9) & (nxt <= 13)))
+    end = np.zeros(256, bool)
+    end[list(marks + b"\n")] = True
+    cut = end[buf] & ((buf == 0x0A) | (nxt == 0x20) | ((nxt >= 9) & (nxt <= 13)))
     ends = np.flatnonzero(cut) + 1
     ends = np.union1d(ends, offs[1:][offs[1:] > 0])
     starts = np.concatenate([[0], ends[:-1]])
@@ -47,7 +51,7 @@ def sentences(buf: np.ndarray, offs: np.ndarray):
 def runs(b: Block, min_words: int):
     """(hash, first sentence, last sentence) of every run, and the sentences."""
     h, at, _, _ = bs.token_hashes(b.buf, b.offs, bs.WORDS_LOWER)
-    s, e, row = sentences(b.buf, b.offs)
+    s, e, row = sentences(b.buf, b.offs, CLAUSE_ENDS)
     lo, hi = np.searchsorted(at, s), np.searchsorted(at, e)
     full = hi > lo  # sentences without a word are no part of runs
     idx = np.flatnonzero(full)
