@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .scratch import materialise
+from .scratch import few, materialise
 
 U = np.uint64
 BUCKETS = 1 << 15
 SMOOTH = 0.5
 SEED = 20240101
 BINS = 4096
+#: Most ids of labelled texts that are broadcast: 16 MB.
+BROADCAST_IDS = 1 << 21
 
 
 def ngrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,8 @@ def threshold(keys: DataFrame, k: int) -> float:
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, seed: int) -> DataFrame:
     """Per row: id, log_weight, key."""
     good = labels.groupBy(id_col).agg(F.max(label_col).alias("y")).where(F.col("y") == 1).select(id_col)
-    target = counts(docs.select(id_col, text_col).join(good, id_col, "left_semi"), text_col)
+    # the ids of good labels are sent to all workers while they are few, and joined by shuffle beyond that
+    target = counts(docs.select(id_col, text_col).join(few(good, BROADCAST_IDS), id_col, "left_semi"), text_col)
     raw = counts(docs, text_col)
     ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS)) if target.sum() else np.zeros(BUCKETS)
     model = docs.sparkSession.sparkContext.broadcast(ratio)

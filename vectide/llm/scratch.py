@@ -6,10 +6,13 @@ is read again from the shared folder.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Tables of the running ``collecting`` block.
+_held: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialise`` writes inside the block."""
+    _held.append([])
+    try:
+        yield _held[-1]
+    finally:
+        _held.pop()
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A hint by a count: rows of a few numbers are broadcast up to ``most`` of them, and joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
@@ -31,17 +53,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vectide_path = path
+    if _held:
+        _held[-1].append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later step reads."""
-    path = getattr(df, "_vectide_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path := getattr(df, "_vectide_path", None):
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def parts_for(spark: SparkSession, per: int = 4) -> int:
