@@ -37,8 +37,13 @@ BLOCK_ARROW = pa.schema([("block", pa.int64()), ("meta", pa.binary()), ("body",
 MAIL_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
 
 
-def pack(docs: DataFrame, text: str, name: str) -> DataFrame:
+def pack(docs: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write ``docs`` as blocks. All columns but the text stay as they are in ``meta``."""
+    return materialise(packed(docs, text, block_bytes), name)
+
+
+def packed(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The blocks of ``docs``, for one pass: numbers of blocks hold once they are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,15 +68,16 @@ def pack(docs: DataFrame, text: str, name: str) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             _, offs = bs.flat(table.column(text))
-            for i, j in bs.slices(offs, BLOCK_BYTES):
+            for i, j in bs.slices(offs, block_bytes):
                 held.append(table.slice(i, j - i))
                 size += int(offs[j] - offs[i])
-                if size >= BLOCK_BYTES // 2:
+                if size >= block_bytes // 2:
                     yield flush()
         if held:
             yield flush()
+        bs.release()
 
-    return materialise(docs.mapInArrow(run, _BLOCK), name)
+    return docs.mapInArrow(run, _BLOCK)
 
 
 class Block:
@@ -114,6 +120,8 @@ def ask(blocks: DataFrame, question: Callable[[Block], Iterator[tuple[int, bytes
                         part, body, size = [], [], 0
                 if part:
                     yield _rows_out(MAIL_ARROW, {"block": [number] * len(part), "part": part, "body": body})
+                del b
+                bs.release()
 
     return blocks.mapInArrow(run, _MAIL)
 
@@ -147,6 +155,8 @@ def per_block(delivered: DataFrame, out: Callable[[Block, dict[int, bytes]], pa.
             for i in range(batch.num_rows):
                 b = Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
                 yield from out(b, answers_of(batch.column(3)[i].as_py())).to_batches()
+                del b
+                bs.release()
 
     return delivered.mapInArrow(run, schema)
 

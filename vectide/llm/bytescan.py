@@ -8,6 +8,8 @@ two look-ups and a multiplication.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,23 @@ BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text handled at once; bounds the memory of the NumPy work arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+_libc = None
+
+
+def release() -> None:
+    """Give freed memory back: Python workers live on between tasks, and share the executor's memory."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
 
 
 def _table(lower: bool, separators: bytes, others_separate: bool = False) -> np.ndarray:
@@ -42,7 +60,7 @@ ALNUM_LOWER[0x80:] = np.arange(0x80, 0x100)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers.get("p", ())) < n:
+    if "p" not in _powers or len(_powers["p"]) < n:
         size = max(n, SLICE_BYTES + 4096)
         for key, base in (("p", BASE), ("i", pow(BASE, -1, 1 << 64))):
             out = np.empty(size, U)
@@ -67,8 +85,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix(x: np.ndarray) -> np.ndarray:
     """Prefix hashes: out[j] - out[i] is the hash of x[i:j] times BASE**i."""
-    out = np.zeros(len(x) + 1, U)
-    np.cumsum((x.astype(U) + U(1)) * powers(len(x))[0], out=out[1:])
+    out = np.empty(len(x) + 1, U)
+    out[0], own = 0, out[1:]
+    own[:] = x
+    own += U(1)
+    own *= powers(len(x))[0]
+    np.cumsum(own, out=own)
     return out
 
 
@@ -80,13 +102,14 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.type != pa.large_string():
+    if column.type not in (pa.string(), pa.large_string()):
         column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int32 if column.type == pa.string() else np.int64
+    offs = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
     return buf, offs - offs[0]

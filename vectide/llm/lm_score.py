@@ -36,6 +36,8 @@ from .scratch import materialise, parts_for
 U = np.uint64
 END, BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 BITS, PROBES, FILTER_MB, MU = 10, 3, 64, 50.0
+#: Smaller blocks than the default: the counts of a block's tokens and pairs are held beside its text.
+BLOCK_BYTES = 1 << 20
 
 
 def held_out(ids: pa.ChunkedArray, modulus: int, remainder: int) -> np.ndarray:
@@ -146,7 +148,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_pairs."""
     spark = docs.sparkSession
     parts = parts_for(spark)
-    blocks = pack(docs.select(id_col, text_col), text_col, "lm")
+    blocks = pack(docs.select(id_col, text_col), text_col, "lm", BLOCK_BYTES)
     slices = answer(ask(blocks, _question(parts, id_col, split, True)), _slice(filter_mb * (1 << 23) // parts)).select("part", "body").toArrow()
     model = spark.sparkContext.broadcast(Filter(dict(zip(slices.column(0).to_pylist(), slices.column(1).to_pylist())), parts))
     del slices
