@@ -41,7 +41,7 @@ VOCABULARY = "byte_bpe_50k.json"
 ROLL = 16
 #: One place in so many is a cut, on average.
 CHUNK_BYTES = 256
-MOST_KEYS, MOST_IDS = 1 << 20, 16 << 20
+MOST_KEYS, MOST_IDS = 1 << 19, 4 << 20
 
 
 class Table:
@@ -238,6 +238,7 @@ def encode_batch(c: Codec, column, every: int) -> Iterator[tuple[np.ndarray, np.
                 whole = c.library.encode(text.decode(), add_special_tokens=False).ids
                 own, back = np.array(whole, np.uint16), c.library.decode(whole, skip_special_tokens=False).encode()
             yield own, back
+        bs.release()
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, every: int = CHUNK_BYTES, with_ids: bool = True) -> DataFrame:

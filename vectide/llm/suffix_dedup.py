@@ -37,7 +37,7 @@ from .scratch import materialise, parts_for
 LENGTH = 50
 GRAM = 32
 #: Starts of windows handled at once.
-STEP = 2 << 20
+STEP = 1 << 20
 U = np.uint64
 
 

@@ -175,6 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             p = np.clip(np.concatenate(p), 0, 1) if p else np.zeros(0)
             columns = [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()), pa.array(bad, arrow.field("offending").type)]
             yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(columns, arrow)], schema=arrow)
+            bs.release()
 
     return rows.mapInArrow(run, schema)
 
