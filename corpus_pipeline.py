@@ -7,11 +7,13 @@ with benchmark passages go, and the rest is encoded.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bpe_codec, decontaminate, ngram_join, quality_rules, suffix_dedup
-from vectide.llm.scratch import materialise
+from vectide.llm.scratch import collecting, materialise, remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,37 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeats), ("benchmark decontamination", leaks), ("BPE encoding", tokens)]
+_left: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, after it has deleted what the stage before left in the shared folder.
+
+    A stage's result is written before the next one runs, so nothing reads those
+    tables any more; they stay if ``docs`` itself comes from them.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = "\n".join(docs.inputFiles()) if _left else ""
+        for path in [p for p in _left if p.rpartition("/")[2] not in read]:
+            remove(spark, path)
+            _left.remove(path)
+        with collecting() as tables:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(tables)
+        return out
+
+    return run_stage
+
+
+STAGES = [
+    ("quality rules", _tidy(quality)),
+    ("n-gram Jaccard join", _tidy(near_copies)),
+    ("suffix-array dedup", _tidy(repeats)),
+    ("benchmark decontamination", _tidy(leaks)),
+    ("BPE encoding", _tidy(tokens)),
+]
 
 #: The stages hash, sketch and tokenise in ways that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None

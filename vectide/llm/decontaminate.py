@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bytescan as bs
-from .blocks import Block, frame, pack, unframe
+from .blocks import Block, frame, packed, unframe
 from .scratch import materialise
 
 U = np.uint64
@@ -41,13 +41,14 @@ WINDOW = 8
 SLOP = 2
 GAP = 16
 PIECE_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 #: Candidate places handled at once.
 CHUNK = 1 << 20
 
 
 def build_index(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row a shard: block, meta (the other columns), body (the texts, if kept), postings."""
-    blocks = pack(docs, text_col, "shards")
+    blocks = packed(docs, text_col, SHARD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(1)
@@ -62,6 +63,7 @@ def build_index(docs: DataFrame, text_col: str = "text", keep_text: bool = False
                 step = np.diff(place[order], prepend=0).astype(np.int32)
                 postings = frame(bs.pack_ints(term, z), bs.pack_ints(count, z), z.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes()), bs.pack_ints(words, z))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([meta], pa.binary()), pa.array([body if keep_text else z.compress(b"")], pa.binary()), pa.array([postings], pa.binary())], names=["block", "meta", "body", "postings"])
+                bs.release()
 
     return materialise(blocks.mapInArrow(run, "block bigint, meta binary, body binary, postings binary"), "postings")
 
@@ -220,6 +222,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 for block, meta, body, postings in zip(*(batch.column(c).to_pylist() for c in ("block", "meta", "body", "postings"))):
                     mail = _shard_rows(block, Shard(postings), *query.value, slop).to_pylist()
                     yield from _result(meta, body, mail, names, keep_text, min_items, arrow).to_batches()
+                    bs.release()
 
         return index.mapInArrow(search, schema)
     hits = None

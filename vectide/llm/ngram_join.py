@@ -34,13 +34,15 @@ from pyspark.sql import types as T
 
 from . import bytescan as bs
 from .components import components
-from .scratch import materialise, parts_for
+from .scratch import few, materialise, parts_for
 
 U = np.uint64
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_BANDS = 36
 #: Distinct texts of a component that are compared in one task.
 PIECE = 1024
+#: Most rows of six numbers that are broadcast: 24 MB.
+BROADCAST_ROWS = 1 << 19
 SEED = 7
 
 
@@ -110,6 +112,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (m + 1) * bands, bands, dtype=np.int32)), pa.array(flat))
                 own = [batch.column(0)[i:j].cast(pa.int64()), pa.array(key.view(np.int64), mask=empty), pa.array(np.diff(bounds)), lists]
                 yield pa.RecordBatch.from_arrays([batch.column(2 + c)[i:j] for c in range(len(carry))] + own, names=names)
+            bs.release()
 
     held = [docs.schema[c] for c in carry]
     schema = T.StructType([*held, *T._parse_datatype_string(_OWN).fields])
@@ -184,11 +187,20 @@ def _verify(group: list[tuple], n: int, threshold: float) -> tuple[np.ndarray, n
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, carry: list[str] | None = None) -> DataFrame:
     """Per document: the columns ``carry`` (default: the id) and class_id (least id of its class), n_links, set_key
-    (equal for equal sets), class_key (equal within a class, null without words)."""
-    spark = docs.sparkSession
+    (equal for equal sets)."""
     bands, rows = bands_for(threshold, recall)
     carry = [id_col] if carry is None else carry
     rows_of = materialise(signatures(docs, id_col, text_col, n, bands, rows, carry), "signatures")
+    of = _classes(docs, rows_of, id_col, text_col, n, threshold)
+    of = of.withColumnsRenamed({c: f"vectide_of_{c}" for c in of.columns})
+    out = rows_of.join(of, rows_of["vectide_key"] == of["vectide_of_key"], "left")
+    lone = F.when(F.col("vectide_key").isNull(), F.col("vectide_id"))
+    return out.select(*carry, F.coalesce("vectide_of_class_id", lone).alias("class_id"), F.coalesce("vectide_of_n_links", F.lit(0)).cast("long").alias("n_links"), F.col("vectide_key").alias("set_key"))
+
+
+def _classes(docs: DataFrame, rows_of: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """key, v (key of the class), first_id, class_id, n_links of every distinct set."""
+    spark = docs.sparkSession
     sig = rows_of.select(*[F.col(f"vectide_{c}").alias(c) for c in ("id", "key", "bands")])
     classes = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("count"))
     classes = materialise(classes, "classes")
@@ -205,7 +217,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     member = member.join(size, "root").withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).join(classes, "key")
     member = materialise(member.select("key", "root", "pieces", "piece", "first_id", "count"), "members")
     text = docs.select(F.col(id_col).cast("bigint").alias("first_id"), F.col(text_col).alias("text"))
-    full = member.join(text.hint("merge"), member["first_id"].eqNullSafe(text["first_id"])).select("key", "root", "pieces", "piece", "count", "text")
+    full = text.join(few(member, BROADCAST_ROWS), text["first_id"].eqNullSafe(member["first_id"])).select("key", "root", "pieces", "piece", "count", "text")
     others = F.transform(
         F.sequence(F.lit(0), F.col("pieces") - 1),
         lambda x: F.struct(F.least(x, "piece").alias("a"), F.greatest(x, "piece").alias("b"), F.when(x == F.col("piece"), 2).when(F.col("piece") < x, 0).otherwise(1).alias("side")),
@@ -225,6 +237,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         for group in tasks.values():
             k, c, r = _verify(list(group.values()), n, threshold)
             keys.append(k), links.append(c), roots.append(r)
+        bs.release()
         one = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"key": one(keys), "links": one(links), "to": one(roots)})
 
@@ -233,19 +246,36 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     found = components(checked.select(F.col("key").alias("u"), F.col("to").alias("v")))
     root = classes.join(found.withColumnRenamed("u", "key"), "key", "left").withColumn("v", F.coalesce("v", "key"))
     first = root.groupBy("v").agg(F.min("first_id").alias("class_id"))
-    of = root.join(first, "v").join(total, "key", "left").select("key", "v", "class_id", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
-    of = of.withColumnsRenamed({c: f"vectide_of_{c}" for c in of.columns})
-    out = rows_of.join(of, rows_of["vectide_key"] == of["vectide_of_key"], "left")
-    lone = F.when(F.col("vectide_key").isNull(), F.col("vectide_id"))
-    return out.select(*carry, F.coalesce("vectide_of_class_id", lone).alias("class_id"), F.coalesce("vectide_of_n_links", F.lit(0)).cast("long").alias("n_links"), F.col("vectide_key").alias("set_key"), F.col("vectide_of_v").alias("class_key"))
+    return root.join(first, "v").join(total, "key", "left").select("key", "v", "first_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
+
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each class, one with the least id; all documents without words stay.
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least id; all documents without words stay."""
-    found = similar(docs, id_col, text_col, carry=docs.columns, **options)
-    first = found.where(F.col("class_key").isNull() | F.col(id_col).cast("bigint").eqNullSafe(F.col("class_id")))
-    alone = first.where(F.col("class_key").isNull()).select(*docs.columns)
-    return first.where(F.col("class_key").isNotNull()).dropDuplicates(["class_key"]).select(*docs.columns).unionByName(alone)
+    What goes is joined to the texts, not what stays: copies are fewer, and no text
+    is shuffled while they are few enough to broadcast.
+    """
+    bands, rows = bands_for(threshold, recall)
+    rows_of = materialise(signatures(docs, id_col, text_col, n, bands, rows, docs.columns), "signatures")
+    of = materialise(_classes(docs, rows_of, id_col, text_col, n, threshold), "classes-of")
+    lowest = F.lit(-(1 << 63))
+    # the one set of each class that stays: of those with the least id, the one of least key
+    stays = of.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("v").agg(F.min("key").alias("key"))
+    whole = of.join(stays.select(F.col("key").alias("kept")), F.col("key") == F.col("kept"), "left")
+    small = rows_of.where(F.col("vectide_key").isNotNull()).select(F.col("vectide_key").alias("key"), F.coalesce("vectide_id", lowest).alias("id"))
+    marked = small.join(whole.select("key", "kept", F.coalesce("class_id", lowest).alias("class_id")), "key")
+    goes = marked.where(F.col("kept").isNull() | (F.col("id") != F.col("class_id"))).select("key", "id").distinct()
+    goes = materialise(goes, "copies").withColumnsRenamed({"key": "vectide_go_key", "id": "vectide_go_id"})
+    same = (F.col("vectide_key") == F.col("vectide_go_key")) & (F.coalesce("vectide_id", lowest) == F.col("vectide_go_id"))
+    left = rows_of.join(few(goes, BROADCAST_ROWS), same, "left_anti")
+    # rows that repeat both the id and the set: one of them
+    twice = small.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("vectide_go_key"), F.col("id").alias("vectide_go_id"))
+    twice = materialise(twice, "repeated")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(few(twice, BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
+    repeated = left.join(few(twice, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["vectide_key", "vectide_id"])
+    return once.unionByName(repeated.select(*docs.columns))
 
 
 def _row_keys(column: pa.Array, n: int) -> np.ndarray:
@@ -255,4 +285,4 @@ def _row_keys(column: pa.Array, n: int) -> np.ndarray:
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id, n_links, set_key."""
-    return similar(docs.select("doc_id", "text")).drop("class_key")
+    return similar(docs.select("doc_id", "text"))
