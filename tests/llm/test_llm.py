@@ -354,12 +354,15 @@ def jaccard_classes(rows):
 @pytest.mark.parametrize("piece", [1024, 4])
 def test_ngram_join(docs, empty, monkeypatch, piece):
     monkeypatch.setattr(ngram_join, "PIECE", piece)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 1 << 19 if piece > 4 else 0)
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.digest(docs).collect()), key=str)
     assert got == sorted(jaccard_classes(corpus()), key=str)
     assert ngram_join.digest(empty).count() == 0
 
 
-def test_deduplicate_keeps_one_of_a_class(docs):
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_deduplicate_keeps_one_of_a_class(docs, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
     kept = ngram_join.deduplicate(docs).collect()
     classes = jaccard_classes([r for r in corpus()])
     words = {r[0] for r in corpus() if WHITE.search(text_of(r))}
@@ -424,7 +427,9 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_resample_draws_exactly_k(spark, empty):
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_resample_draws_exactly_k(spark, empty, monkeypatch, most):
+    monkeypatch.setattr(quality_resample, "BROADCAST_IDS", most)
     docs, labels, rows = labelled(spark)
     out = quality_resample.resample(docs, labels, share=0.5).collect()
     assert sum(r.selected for r in out) == math.ceil(0.5 * len(rows))
@@ -437,6 +442,18 @@ def test_resample_draws_exactly_k(spark, empty):
     assert quality_resample.digest(docs, labels.limit(0)).where("selected").count() == len(rows)
 
 
+def test_block_without_text(spark):
+    """A partition of nulls only, in workers that have hashed nothing yet."""
+    df = spark.createDataFrame([(1, None), (2, None)], "doc_id bigint, text string")
+    assert [r.n_bytes for r in suffix_dedup.digest(df).collect()] == [0, 0]
+    assert [r.n_sentences for r in substring_dedup.digest(df).collect()] == [0, 0]
+    assert [r.n_tokens for r in lm_score.digest(df).collect()] == [1, 1]
+    assert [r.n_links for r in ngram_join.digest(df).collect()] == [0, 0]
+    assert [r.n_tokens for r in bpe_codec.digest(df).collect()] == [0, 0]
+    bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    assert [r.n_words for r in decontaminate.digest(df, bench).collect()] == [0, 0]
+
+
 def test_queries_import_without_running():
     from vectide.llm import queries
 
