@@ -107,6 +107,7 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             weight = np.concatenate(out) if out else np.zeros(0)
             u = ((batch.column(1).to_numpy().view(U) >> U(11)).astype(float) + 0.5) / (1 << 53)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], names=["id", "log_weight", "key"])
+            bs.release()
 
     return rows.mapInArrow(run, f"id {id_type}, log_weight double, key double")
 
