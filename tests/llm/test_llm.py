@@ -196,6 +196,20 @@ def test_bloom_counts_are_quantised_and_bounded():
     assert (f.count(bs.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) == 0).mean() > 0.9
 
 
+def test_lm_filter_keeps_its_bits_at_every_size(docs):
+    def tokens(r):
+        return ["<s>"] + [x.lower() for x in WHITE.findall(text_of(r))] + [None]
+
+    rows = [r for r in corpus() if r[0] is not None]
+    held = {r[0]: r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2}
+    known = {p for r in rows + [r for r in corpus() if r[0] is None] if r[0] not in held for p in zip(tokens(r), tokens(r)[1:])}
+    want = {i: sum(p in known for p in zip(tokens(r), tokens(r)[1:])) for i, r in held.items()}
+    absent = sum(len(tokens(r)) - 1 for r in held.values()) - sum(want.values())
+    got = {g.doc_id: g.known_pairs for g in lm_score.score(docs, filter_mb=0.001).collect() if g.doc_id in held}
+    assert absent > 100 and all(got[i] >= want[i] for i in want)
+    assert sum(got.values()) - sum(want.values()) < 0.06 * absent  # (1 - exp(-3 / 10)) ** 3 is 0.017
+
+
 ITEM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -1,16 +1,16 @@
 """Bigram language model in a log-frequency Bloom filter.
 
 Counts are gathered over all training texts. Token counts are exact: blocks ask
-hash parts for the counts of the tokens they hold. Bigram counts go to the same
-kind of parts; each part puts (bigram, level) pairs for the levels 1 to
-1 + floor(log2 count) into its slice of a Bloom filter. The slices are broadcast;
-a scorer probes level after level until one is absent, which gives the quantised
-count. The probability of a word w after h is
+hash parts for the counts of the tokens they hold. Bigrams, held-out ones too, go
+to the same kind of parts; each part puts (bigram, level) pairs for the levels 1 to
+1 + floor(log2 count) into its slices of a Bloom filter and probes level after level
+until one is absent, which gives the quantised count of each bigram asked for. The
+probability of a word w after h is
 ``(c(h w) + mu * p(w)) / (c(h) + mu)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``.
 
-The broadcast is at most ``filter_mb``: a slice has ``BITS`` bits a pair, or its
-share of the bound if that is less. No n-gram is left out; a fuller slice only
-errs more often.
+A slice has ``BITS`` bits a (bigram, level) pair at every size of the input, so its
+error rate is the same too. A part whose slice would take more than ``filter_mb`` at
+a byte a bit cuts its keys into ranges with a slice each.
 
 Defined cases: a null text is empty; an empty text is one end token; a null id
 counts as the empty string in the split into training and held-out texts;
@@ -85,7 +85,7 @@ def _question(parts: int, id_col: str, split: tuple[int, int], pairs: bool):
         h, row = stream(b)
         train = ~held_out(b.rest.column(id_col), *split)[row]
         if pairs:
-            h, train = bigrams(h, row)[0][train], train[train]
+            h = bigrams(h, row)[0]
         key, inverse = np.unique(h, return_inverse=True)
         count = np.bincount(inverse, weights=train, minlength=len(key)).astype(np.int64)
         order, low, bounds = split_parts(key, parts, 40 if pairs else 64)
@@ -105,23 +105,48 @@ def _token_reply(bodies: list[bytes]) -> list[bytes]:
     return [frame(bs.pack_ints(x, c)) + stats for x in np.split(total[inverse], cuts)]
 
 
+def _slices(key: np.ndarray, total: np.ndarray, most_bits: int):
+    """(range of the sorted keys, its slice of the filter): about ``most_bits`` each, ``BITS`` for every (key, level)."""
+    level = np.frexp(total.astype(float))[1]  # 1 + floor(log2 count); 0 for 0
+    piece = np.cumsum(BITS * level) // max(64, most_bits)
+    cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(key) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = level[lo:hi]
+        bits = np.zeros(max(64, BITS * int(own.sum())) // 8 * 8, bool)
+        for j in range(1, int(own.max()) + 1):
+            k = key[lo:hi][own >= j]
+            for i in range(PROBES):
+                bits[_slots(k, j, i, U(len(bits)))] = True
+        yield slice(lo, hi), np.packbits(bits).tobytes()
+
+
 def _slice(most_bits: int):
-    def reply(bodies: list[bytes]) -> list[bytes | None]:
+    def reply(bodies: list[bytes]) -> list[bytes]:
         key, total, _ = _merge(*_counts(bodies))
-        level = np.frexp(total.astype(float))[1]  # 1 + floor(log2 count)
-        size = int(min(max(64, BITS * int(level.sum())), most_bits)) // 8 * 8
-        bits = np.zeros(size, bool)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            k = key[level >= j]
-            for i in range(PROBES):
-                bits[_slots(k, j, i, U(size))] = True
-        return [np.packbits(bits).tobytes()] + [None] * (len(bodies) - 1)
+        return [x for _, x in _slices(key, total, most_bits)]
+
+    return reply
+
+
+def _pair_reply(most_bits: int):
+    """The levels of the asked pairs, as the filter has them."""
+
+    def reply(bodies: list[bytes]) -> list[bytes]:
+        c = zstandard.ZstdCompressor(1)
+        hs, cs = _counts(bodies)
+        key, total, inverse = _merge(hs, cs)
+        cuts = np.cumsum([len(x) for x in hs])[:-1]
+        del hs, cs
+        level = np.zeros(len(key), np.uint64)
+        for at, body in _slices(key, total, most_bits):
+            level[at] = Filter({0: body}, 1).level(key[at])
+        return [bs.pack_ints(x, c) for x in np.split(level[inverse], cuts)]
 
     return reply
 
 
 class Filter:
-    """The broadcast slices, and the quantised count of any bigram."""
+    """Slices of parts, and the quantised count of any bigram."""
 
     def __init__(self, slices: dict[int, bytes], parts: int):
         self.parts = parts
@@ -129,10 +154,10 @@ class Filter:
         self.size, self.start = sizes, np.cumsum(sizes) - sizes
         self.bits = np.frombuffer(b"".join(slices.get(p, b"") for p in range(parts)), np.uint8)
 
-    def count(self, key: np.ndarray) -> np.ndarray:
+    def level(self, key: np.ndarray) -> np.ndarray:
         part = ((key >> U(40)) % U(self.parts)).astype(np.int64)
         low = key & U((1 << 40) - 1)
-        out = np.zeros(len(key))
+        out = np.zeros(len(key), np.uint64)
         live = np.flatnonzero(self.size[part] > 0)
         for j in range(1, 64):
             for i in range(PROBES):
@@ -140,18 +165,24 @@ class Filter:
                 live = live[(self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
             if not len(live):
                 break
-            out[live] = (3 * 2.0 ** (j - 1) - 1) / 2  # the middle of [2**(j-1), 2**j)
+            out[live] = j
         return out
 
+    def count(self, key: np.ndarray) -> np.ndarray:
+        return quantised(self.level(key))
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The middle of [2**(level-1), 2**level), 0 at level 0."""
+    return np.where(level > 0, (3 * 2.0 ** (level.astype(float) - 1) - 1) / 2, 0.0)
+
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = (7, 2), mu: float = MU, filter_mb: int = FILTER_MB) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_pairs."""
     spark = docs.sparkSession
     parts = parts_for(spark)
     blocks = pack(docs.select(id_col, text_col), text_col, "lm", BLOCK_BYTES)
-    slices = answer(ask(blocks, _question(parts, id_col, split, True)), _slice(filter_mb * (1 << 23) // parts)).select("part", "body").toArrow()
-    model = spark.sparkContext.broadcast(Filter(dict(zip(slices.column(0).to_pylist(), slices.column(1).to_pylist())), parts))
-    del slices
+    levels = materialise(answer(ask(blocks, _question(parts, id_col, split, True)), _pair_reply(int(filter_mb * (1 << 20)))), "lm-levels")
     counts = materialise(answer(ask(blocks, _question(parts, id_col, split, False)), _token_reply), "lm-counts")
     stats = counts.groupBy("part").agg(F.min(F.expr("substring(body, -16, 16)")).alias("s")).collect()
     n, v = (int(x) for x in sum((np.frombuffer(bytes(r.s), "<u8").astype(np.int64) for r in stats), np.zeros(2, np.int64)))
@@ -166,6 +197,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split
         order, _, bounds = split_parts(key, parts, 64)
         count = np.zeros(len(key), np.int64)
         for p, body in mail.items():
+            if p >= parts:
+                continue
             count[order[bounds[p] : bounds[p + 1]]] = bs.unpack_ints(unframe(body[:-16])[0], z).astype(np.int64)
         c = count[inverse]
         base = (c + 1) / (n + v + 1)
@@ -175,13 +208,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split
             c_before[1:] = c[:-1]
             c_before[before == BEGIN] = count[np.searchsorted(key, END)]
         distinct, where = np.unique(pair, return_inverse=True)
-        both = np.minimum(model.value.count(distinct)[where], np.minimum(c, c_before))
+        order, _, bounds = split_parts(distinct, parts, 40)
+        level = np.zeros(len(distinct), U)
+        for p, body in mail.items():
+            if p >= parts:
+                level[order[bounds[p - parts] : bounds[p - parts + 1]]] = bs.unpack_ints(body, z)
+        both = np.minimum(quantised(level)[where], np.minimum(c, c_before))
         p = (both + mu * base) / (c_before + mu)
         total = lambda w: np.bincount(row, weights=w, minlength=rows)
         columns = [b.rest.column(id_col), pa.array(held_out(b.rest.column(id_col), *split)), np.bincount(row, minlength=rows), total(c > 0).astype(np.int64), np.full(rows, n, np.int64), total(np.log10(base)), total(np.log10(p)), total(both > 0).astype(np.int64)]
         return pa.Table.from_arrays([(x if isinstance(x, pa.ChunkedArray) else pa.chunked_array([x])).cast(t.type) for x, t in zip(columns, arrow)], schema=arrow)
 
-    return per_block(deliver(blocks, counts), out, schema)
+    # the answers on pairs have the part numbers after those on tokens
+    answers = counts.unionByName(levels.withColumn("part", F.col("part") + parts))
+    return per_block(deliver(blocks, answers), out, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
