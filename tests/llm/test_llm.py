@@ -163,6 +163,28 @@ def test_substring_dedup_brute_force(docs):
     assert got == removed
 
 
+def test_substring_dedup_removes_whole_repeated_spans(spark):
+    def units(t):
+        return [re.findall(r"[^ ]+", x.lower()) for x in re.split(r"(?<=[.!?;:,]) ", t)]
+
+    rnd = random.Random(4)
+    vocab = [f"w{k}" for k in range(5000)]
+    prose = lambda n: " ".join(rnd.choice(vocab) + rnd.choice(["", "", "", "", ".", ","]) for _ in range(n)) + "."
+    shared = [prose(rnd.randrange(12, 60)) for _ in range(6)]
+    rows = [(1, "A b c d e f g h, i j k l, anntly re."), (2, "A b c d e f g h, i j k l, anntly re.")]
+    rows += [(i, " ".join([prose(20), shared[i % 6], prose(20)] if i % 2 else [shared[i % 6]])) for i in range(3, 40)]
+    seen, want = set(), {}
+    for i, t in rows:
+        u = units(t)
+        runs = [(tuple(sum(u[a:b], [])), a, b) for a in range(len(u)) for b in range(a + 2, len(u) + 1)]
+        runs = [r for r in runs if len(r[0]) >= substring_dedup.MIN_WORDS]
+        want[i] = len({k for w, a, b in runs if w in seen for k in range(a, b)})
+        seen.update(w for w, _, _ in runs)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].n_removed == 0 and got[2].text == ""
+    assert {i: r.n_removed for i, r in got.items()} == want
+
+
 def test_lm_score(docs, empty):
     rows = corpus()
     count = collections.Counter()

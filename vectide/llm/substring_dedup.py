@@ -3,7 +3,9 @@
 Every run of several consecutive sentences is hashed and joined over all texts.
 Sentences are cut at clause marks as well (``CLAUSE_ENDS``). A run starts at each
 of them and takes the least number, two at least, that together have
-``min_words`` words; shorter tails are no runs.
+``min_words`` words; another ends at each of them and goes backwards likewise.
+Together they cover every longer repeated run to both ends: the last start
+whose run still ends inside it is the start of the run that ends with it.
 Words are runs of non-white-space with A-Z lower-cased, so spacing does not
 matter. The first occurrence is the one with the smallest (doc_id, position).
 
@@ -60,11 +62,14 @@ def runs(b: Block, min_words: int):
     if not m:
         return np.zeros(0, np.uint64), idx, idx, (s, e, row, idx)
     pre = bs.prefix(h >> np.uint64(8))
-    last = np.maximum(np.searchsorted(hi, lo + min_words, "left"), np.arange(m) + 1)
-    ok = last < m
-    ok[ok] = r[last[ok]] == r[np.flatnonzero(ok)]
-    i = np.flatnonzero(ok)
-    j = last[i]
+    here = np.arange(m)
+    last = np.maximum(np.searchsorted(hi, lo + min_words, "left"), here + 1)
+    start = np.minimum(np.searchsorted(lo, hi - min_words, "right") - 1, here - 1)
+    i, j = np.concatenate([here, start]), np.concatenate([last, here])
+    ok = (i >= 0) & (j < m)
+    i, j = i[ok], j[ok]
+    ok = r[i] == r[j]
+    i, j = np.divmod(np.unique(i[ok] * m + j[ok]), m)  # a run that both ways find counts once
     return bs.mix(bs.span_hash(pre, lo[i], hi[j]) + (hi[j] - lo[i]).astype(np.uint64)), i, j, (s, e, row, idx)
 
 
