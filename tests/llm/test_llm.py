@@ -463,6 +463,15 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_keeps_the_shares_of_the_classes(spark):
+    texts = ["plain words here. more plain talk.", "plain words here. more vile talk."]
+    rows = [(i, texts[i % 10 == 0], int(i % 10 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = [toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic", most) for most in (50, 3000)]
+    assert abs(model[0][1] - model[1][1]) < 1e-3
+    assert np.allclose(model[0][0], model[1][0], atol=1e-3)
+
+
 @pytest.mark.parametrize("most", [0, 1 << 21])
 def test_resample_draws_exactly_k(spark, empty, monkeypatch, most):
     monkeypatch.setattr(quality_resample, "BROADCAST_IDS", most)

@@ -67,8 +67,11 @@ def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, weights=-np.logaddexp(0, z), minlength=n)
 
 
-def fit(bucket: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of maximal likelihood, by Adam over the whole sample."""
+def fit(bucket: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, y: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """Weights and bias of maximal likelihood, by Adam over the whole sample.
+
+    stands_for: the labelled documents that one of the sample stands for, clean and toxic.
+    """
     n_docs, n_sent = len(y), len(doc_of)
     seen = np.unique(bucket * n_docs + doc_of[sent])
     seen, doc = seen // n_docs, seen % n_docs
@@ -80,6 +83,8 @@ def fit(bucket: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, y: np.ndarray)
     used = ((toxic + clean >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))[bucket]
     names, f = np.unique(bucket[used], return_inverse=True)
     sent = sent[used]
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
+    weight = weight / weight.mean()
     w, b = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, ROUNDS + 1):
@@ -87,7 +92,7 @@ def fit(bucket: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, y: np.ndarray)
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         log_none = np.minimum(noisy_or(z, doc_of, n_docs), -1e-9)
         pull = np.where(y == 1, -1 / np.expm1(-log_none), 1.0)  # -(1 - P) / P, or 1
-        g = p * pull[doc_of] / n_docs
+        g = p * (weight * pull)[doc_of] / n_docs
         grad = np.r_[np.bincount(f, weights=g[sent], minlength=len(names)) + DECAY * w / max(1, len(names)) ** 0.5, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -105,6 +110,9 @@ def split_of(id_col: str, modulus: int = 3, remainder: int = 1):
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, float] | None:
     """Weights learned from at most ``sample`` labelled documents of each class."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~split_of(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    count = {r.y: r["count"] for r in marked.where(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
+    # the sample is cut per class: in the loss each class has the share that it has among all training labels
+    stands_for = tuple(max(1.0, count.get(y, 0) / max(1, sample)) for y in (0, 1))
     chosen = None
     for y in (0, 1):
         some = marked.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample)
@@ -135,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             pair = np.concatenate(pairs)
             sent = (pair >> BUCKET_BITS) + np.repeat(base, [len(p) for p in pairs])
             if {0, 1} <= set(y.tolist()) and len(pair):
-                w, b = fit(pair & ((1 << BUCKET_BITS) - 1), sent, np.repeat(np.arange(len(y)), many), y)
+                w, b = fit(pair & ((1 << BUCKET_BITS) - 1), sent, np.repeat(np.arange(len(y)), many), y, stands_for)
                 yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
     model = texts.mapInArrow(extract, "id bigint, y int, pairs binary").repartition(1).mapInArrow(learn, "w binary, b double").collect()
