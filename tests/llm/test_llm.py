@@ -269,6 +269,17 @@ def test_decontaminate_brute_force(spark, docs, empty, monkeypatch, piece):
     assert len(none) == len(rows) and not any(r.n_items for r in none)
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 4, 6, 12, 100])
+def test_last_window_is_searched_at_any_chunk(spark, monkeypatch, chunk):
+    texts = [" ".join(f"{x}{k}" for k in range(8)) for x in "abc"]
+    df = spark.createDataFrame([(i, " ".join(texts)) for i in range(4)], "doc_id bigint, text string").coalesce(1)
+    shard = decontaminate.Shard(decontaminate.build_index(df).first().postings)
+    terms, size, _, _ = decontaminate.windows(list(enumerate(texts)), 8)
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    found, _, exact = shard.search(terms, size, 0)
+    assert exact.all() and np.bincount(found, minlength=3).tolist() == [4, 4, 4]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a b x c d e f g h i"), (2, "a b c d e f g h"), (3, "h g f e d c b a")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string")

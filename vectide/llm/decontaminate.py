@@ -100,9 +100,8 @@ class Shard:
         out = []
         rare = at[rows, by[:, 0]] if len(window) else at[:, 0]
         many = self.count[rare]
-        cuts = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + CHUNK, CHUNK))
-        for lo, hi in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1])):
-            hi = len(window) if hi >= len(window) else hi
+        cuts = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()), CHUNK))
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(window)]):
             m = many[lo:hi]
             w = np.repeat(np.arange(lo, hi), m)
             start = self.place[np.repeat(self.first[rare[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))] - by[w, 0]
