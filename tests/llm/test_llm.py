@@ -373,6 +373,20 @@ def test_quality_fences_follow_the_group(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in (300, 301, 302))
 
 
+def test_quality_fences_of_shares_follow_the_group(spark):
+    rnd = random.Random(5)
+
+    def text(lines, copies):
+        own = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(8)) for _ in range(lines)]
+        return "\n".join(own + own[:copies])
+
+    rows = [(i, text(16, 0), "en", "a") for i in range(150)] + [(i, text(16, 4 if i % 8 == 0 else 0), "de", "b") for i in range(150, 300)]
+    rows += [(300, text(16, 4), "en", "a"), (301, text(16, 4), "de", "b")]
+    got = {r.doc_id: r for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(r.kept for i, r in got.items() if i != 300) and not got[300].kept
+
+
 def jaccard_classes(rows):
     sets = []
     for r in rows:

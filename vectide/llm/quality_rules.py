@@ -10,7 +10,9 @@ are joined by language and source (null is a group of its own).
 
 The measures: word length, symbols a word, share of repeated lines, share of
 words in repeated three-word windows. ``SPREAD`` is the least width of a fence,
-so that a group of nearly equal texts doesn't reject small differences.
+so that a group of nearly equal texts doesn't reject small differences. The shares
+are 0 in most texts of a group, in its middle half too, so their upper fence stands
+off from the quantile ``TOP`` of the group and not from the upper quartile.
 
 Nothing is exploded: repeated windows are found inside the row by sorting, and
 only in texts in which hashes of windows repeat.
@@ -36,7 +38,9 @@ MOST_REPEATED = 50  # per cent of the words
 FENCE = 3.0
 LEAST_ROWS = 100
 SKETCH_K = 800
-SPREAD = {"word_length": 0.75, "symbol_rate": 0.2, "dup_line_share": 0.5, "repeat_share": 0.45}
+SPREAD = {"word_length": 0.75, "symbol_rate": 0.2, "dup_line_share": 0.05, "repeat_share": 0.05}
+#: Quantile that the upper fence stands off from.
+TOP = {"word_length": 0.75, "symbol_rate": 0.75, "dup_line_share": 0.95, "repeat_share": 0.95}
 SIDES = {"word_length": (True, True), "symbol_rate": (False, True), "dup_line_share": (False, True), "repeat_share": (False, True)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -126,13 +130,13 @@ def thresholds(rows: DataFrame, group: list[str]) -> DataFrame:
     out = [F.col(c) for c in group]
     for c in names:
         used = F.when(F.col("n") >= LEAST_ROWS, F.col(c)).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{c}_all")).otherwise(F.col(f"a_{c}_all"))
-        out.append(_let(used, lambda k: F.call_function("kll_sketch_get_quantile_double", k, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"q_{c}"))
+        out.append(_let(used, lambda k: F.call_function("kll_sketch_get_quantile_double", k, F.array(F.lit(0.25), F.lit(0.75), F.lit(TOP[c])))).alias(f"q_{c}"))
     wide = wide.select(*out)
     fences = []
     for c in names:
         q1, q3 = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
         reach = F.greatest(FENCE * (q3 - q1), F.lit(SPREAD[c]))
-        fences += [(q1 - reach).alias(f"lo_{c}"), (q3 + reach).alias(f"hi_{c}")]
+        fences += [(q1 - reach).alias(f"lo_{c}"), (F.col(f"q_{c}")[2] + reach).alias(f"hi_{c}")]
     return wide.select(*group, *fences)
 
 
