@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .scratch import materialise, parts_for
+from .scratch import materialise
 
 BLOCK_BYTES = 4 << 20
-_BLOCK = "block bigint, meta binary, body binary"
+#: What a row counts for beside its bytes, so that very many short or empty texts fill a block too.
+ROW_BYTES = 64
+_BLOCK = "block bigint, size bigint, meta binary, body binary"
 _MAIL = "block bigint, part int, body binary"
 
 
@@ -33,7 +35,7 @@ def _rows_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns, schema=schema)
 
 
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("meta", pa.binary()), ("body", pa.binary())])
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("meta", pa.binary()), ("body", pa.binary())])
 MAIL_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
 
 
@@ -61,16 +63,18 @@ def packed(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFr
             rest = table.drop_columns([text]).append_column("\0null", table.column(text).is_null()).append_column("\0size", lengths)
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
-            out = _rows_out(BLOCK_ARROW, {"block": [base + number], "meta": [z.compress(sink.getvalue())], "body": [z.compress(buf.tobytes())]})
+            out = _rows_out(BLOCK_ARROW, {"block": [base + number], "size": [int(offs[-1])], "meta": [z.compress(sink.getvalue())], "body": [z.compress(buf.tobytes())]})
             number, held, size = number + 1, [], 0
             return out
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             _, offs = bs.flat(table.column(text))
-            for i, j in bs.slices(offs, block_bytes):
+            rest = (table.drop_columns([text]).nbytes // max(1, table.num_rows)) + ROW_BYTES  # a row's, on average
+            weight = offs + np.arange(len(offs)) * rest
+            for i, j in bs.slices(weight, block_bytes):
                 held.append(table.slice(i, j - i))
-                size += int(offs[j] - offs[i])
+                size += int(weight[j] - weight[i])
                 if size >= block_bytes // 2:
                     yield flush()
         if held:
@@ -101,15 +105,23 @@ class Block:
             yield self.buf[i:j].tobytes()
 
 
+def _block_at(batch: pa.RecordBatch, i: int) -> Block:
+    return Block(batch.column("meta")[i].as_py(), batch.column("body")[i].as_py())
+
+
+def text_bytes(blocks: DataFrame) -> int:
+    """Bytes of all texts; reads the column of sizes only."""
+    return int(blocks.agg(F.sum("size")).first()[0] or 0)
+
+
 def ask(blocks: DataFrame, question: Callable[[Block], Iterator[tuple[int, bytes]]], replies: bool = False) -> DataFrame:
     """Rows (block, part, body) with what ``question(block[, answers])`` yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                number = batch.column(0)[i].as_py()
-                b = Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                more = (answers_of(batch.column(3)[i].as_py()),) if replies else ()
+                number, b = batch.column("block")[i].as_py(), _block_at(batch, i)
+                more = (answers_of(batch.column("mail")[i].as_py()),) if replies else ()
                 part, body, size = [], [], 0
                 for p, x in question(b, *more):
                     part.append(p)
@@ -153,8 +165,8 @@ def per_block(delivered: DataFrame, out: Callable[[Block, dict[int, bytes]], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                yield from out(b, answers_of(batch.column(3)[i].as_py())).to_batches()
+                b = _block_at(batch, i)
+                yield from out(b, answers_of(batch.column("mail")[i].as_py())).to_batches()
                 del b
                 bs.release()
 
@@ -183,4 +195,4 @@ def unframe(body: bytes) -> list[bytes]:
     return out
 
 
-__all__ = ["Block", "answer", "ask", "deliver", "frame", "pack", "parts_for", "per_block", "split_parts", "unframe"]
+__all__ = ["Block", "answer", "ask", "deliver", "frame", "pack", "per_block", "split_parts", "text_bytes", "unframe"]

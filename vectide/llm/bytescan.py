@@ -143,10 +143,34 @@ def tokens(buf: np.ndarray, offs: np.ndarray, table: np.ndarray):
     return x, starts, ends, row
 
 
+def _separator(buf: np.ndarray, table: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that is in no word."""
+    while at < len(buf):
+        found = np.flatnonzero(table[buf[at : at + 4096]] == 0)
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(buf)
+
+
 def token_hashes(buf: np.ndarray, offs: np.ndarray, table: np.ndarray):
-    """(hashes, starts, ends, row) of the words of every text."""
-    x, starts, ends, row = tokens(buf, offs, table)
-    return mix(span_hash(prefix(x), starts, ends)), starts, ends, row
+    """(hashes, starts, ends, row) of the words of every text, worked out a slice at a time: long texts need no more room."""
+    out, at, n = [], 0, len(buf)
+    while at < n or not out:
+        end = n if n - at <= 2 * SLICE_BYTES else _separator(buf, table, at + SLICE_BYTES)
+        first, last = np.searchsorted(offs, at, "right") - 1, np.searchsorted(offs, end)
+        x, starts, ends, row = tokens(buf[at:end], np.clip(offs[first : last + 1], at, end) - at, table)
+        out.append((mix(span_hash(prefix(x), starts, ends)), starts + at, ends + at, row + first))
+        at = end
+        if not n:
+            break
+    return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats, by sorting: several times faster than by NumPy's hash table."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
