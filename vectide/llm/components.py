@@ -4,7 +4,8 @@ Alternates the large-star and small-star steps: each vertex's larger neighbours,
 then its smaller ones, are linked to the least vertex that it knows. Edges never
 grow in number, a vertex's neighbours are aggregated with map-side combining and
 never listed in one row, and the number of rounds grows with the logarithm of
-the longest path. Every round is written to the shared folder.
+the longest path. A vertex with very many
+neighbours is spread over all tasks. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,21 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, materialise
+from .scratch import discard, materialise, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges: (u, v) with u > v, distinct."""
     if large:
         # v in N(u), v > u: link to the least of u and N(u)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         ahead = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))  # w > u
-        linked = ahead.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        linked = spread_join(ahead, least, "u", 2 * total).select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         # v in N(u), v <= u: link v and u to the least of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        linked = spread_join(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where(F.col("u") != F.col("v")).distinct()
 
 
@@ -40,8 +41,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = materialise(now, "edges")
     state = _state(now)
     while True:
-        half = _star(now, True)
-        then = materialise(_star(half, False), "edges")
+        half = _star(now, True, state[0])
+        then = materialise(_star(half, False, state[0]), "edges")
         found = _state(then)
         discard(now)
         now = then
