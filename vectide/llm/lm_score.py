@@ -10,11 +10,14 @@ probability of a word w after h is
 
 A slice has ``BITS`` bits a (bigram, level) pair at every size of the input, so its
 error rate is the same too. A part whose slice would take more than ``filter_mb`` at
-a byte a bit cuts its keys into ranges with a slice each.
+a byte a bit cuts its keys into ranges with a slice each. The number of parts follows
+the bytes of the texts, so a score depends on the data and not on the cluster.
 
 Defined cases: a null text is empty; an empty text is one end token; a null id
 counts as the empty string in the split into training and held-out texts;
-without training tokens all counts are 0.
+without training tokens all counts are 0. Repeated rows count, and are scored, one by
+one. The result has the id and the columns below; no other column is read, so
+names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bytescan as bs
-from .blocks import Block, answer, ask, deliver, frame, pack, per_block, split_parts, unframe
-from .scratch import materialise, parts_for
+from .blocks import Block, answer, ask, deliver, frame, pack, per_block, split_parts, text_bytes, unframe
+from .scratch import materialise, parts_of
 
 U = np.uint64
 END, BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-BITS, PROBES, FILTER_MB, MU = 10, 3, 64, 50.0
+BITS, PROBES, FILTER_MB, MU = 12, 4, 64, 50.0
+#: Bytes of text of a hash part.
+PART_BYTES = 8 << 20
 #: Smaller blocks than the default: the counts of a block's tokens and pairs are held beside its text.
 BLOCK_BYTES = 1 << 20
 
@@ -105,30 +110,22 @@ def _token_reply(bodies: list[bytes]) -> list[bytes]:
     return [frame(bs.pack_ints(x, c)) + stats for x in np.split(total[inverse], cuts)]
 
 
-def _slices(key: np.ndarray, total: np.ndarray, most_bits: int):
-    """(range of the sorted keys, its slice of the filter): about ``most_bits`` each, ``BITS`` for every (key, level)."""
+def _slices(key: np.ndarray, total: np.ndarray, most_bits: int, bits: int):
+    """(range of the sorted keys, its slice of the filter): about ``most_bits`` each, ``bits`` for every (key, level)."""
     level = np.frexp(total.astype(float))[1]  # 1 + floor(log2 count); 0 for 0
-    piece = np.cumsum(BITS * level) // max(64, most_bits)
+    piece = np.cumsum(bits * level) // max(64, most_bits)
     cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(key) else []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         own = level[lo:hi]
-        bits = np.zeros(max(64, BITS * int(own.sum())) // 8 * 8, bool)
+        on = np.zeros(max(64, bits * int(own.sum())) // 8 * 8, bool)
         for j in range(1, int(own.max()) + 1):
             k = key[lo:hi][own >= j]
             for i in range(PROBES):
-                bits[_slots(k, j, i, U(len(bits)))] = True
-        yield slice(lo, hi), np.packbits(bits).tobytes()
+                on[_slots(k, j, i, U(len(on)))] = True
+        yield slice(lo, hi), np.packbits(on).tobytes()
 
 
-def _slice(most_bits: int):
-    def reply(bodies: list[bytes]) -> list[bytes]:
-        key, total, _ = _merge(*_counts(bodies))
-        return [x for _, x in _slices(key, total, most_bits)]
-
-    return reply
-
-
-def _pair_reply(most_bits: int):
+def _pair_reply(most_bits: int, bits: int):
     """The levels of the asked pairs, as the filter has them."""
 
     def reply(bodies: list[bytes]) -> list[bytes]:
@@ -138,30 +135,25 @@ def _pair_reply(most_bits: int):
         cuts = np.cumsum([len(x) for x in hs])[:-1]
         del hs, cs
         level = np.zeros(len(key), np.uint64)
-        for at, body in _slices(key, total, most_bits):
-            level[at] = Filter({0: body}, 1).level(key[at])
+        for at, body in _slices(key, total, most_bits, bits):
+            level[at] = Filter(body).level(key[at])
         return [bs.pack_ints(x, c) for x in np.split(level[inverse], cuts)]
 
     return reply
 
 
 class Filter:
-    """Slices of parts, and the quantised count of any bigram."""
+    """A slice, and the quantised count of any of its keys."""
 
-    def __init__(self, slices: dict[int, bytes], parts: int):
-        self.parts = parts
-        sizes = np.array([len(slices.get(p, b"")) * 8 for p in range(parts)], np.int64)
-        self.size, self.start = sizes, np.cumsum(sizes) - sizes
-        self.bits = np.frombuffer(b"".join(slices.get(p, b"") for p in range(parts)), np.uint8)
+    def __init__(self, body: bytes):
+        self.bits, self.size = np.frombuffer(body, np.uint8), U(len(body) * 8)
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        part = ((key >> U(40)) % U(self.parts)).astype(np.int64)
-        low = key & U((1 << 40) - 1)
-        out = np.zeros(len(key), np.uint64)
-        live = np.flatnonzero(self.size[part] > 0)
+        out = np.zeros(len(key), U)
+        live = np.arange(len(key))
         for j in range(1, 64):
             for i in range(PROBES):
-                slot = self.start[part[live]] + _slots(low[live], j, i, self.size[part[live]].astype(U))
+                slot = _slots(key[live], j, i, self.size)
                 live = live[(self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
             if not len(live):
                 break
@@ -177,12 +169,11 @@ def quantised(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3 * 2.0 ** (level.astype(float) - 1) - 1) / 2, 0.0)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = (7, 2), mu: float = MU, filter_mb: int = FILTER_MB) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = (7, 2), mu: float = MU, filter_mb: int = FILTER_MB, bits: int = BITS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_pairs."""
-    spark = docs.sparkSession
-    parts = parts_for(spark)
     blocks = pack(docs.select(id_col, text_col), text_col, "lm", BLOCK_BYTES)
-    levels = materialise(answer(ask(blocks, _question(parts, id_col, split, True)), _pair_reply(int(filter_mb * (1 << 20)))), "lm-levels")
+    parts = parts_of(text_bytes(blocks), PART_BYTES)
+    levels = materialise(answer(ask(blocks, _question(parts, id_col, split, True)), _pair_reply(int(filter_mb * (1 << 20)), bits)), "lm-levels")
     counts = materialise(answer(ask(blocks, _question(parts, id_col, split, False)), _token_reply), "lm-counts")
     stats = counts.groupBy("part").agg(F.min(F.expr("substring(body, -16, 16)")).alias("s")).collect()
     n, v = (int(x) for x in sum((np.frombuffer(bytes(r.s), "<u8").astype(np.int64) for r in stats), np.zeros(2, np.int64)))
