@@ -16,7 +16,8 @@ with a smaller id. Three steps, all on blocks of documents:
 
 Defined cases: a null text is empty and stays null; texts under ``length``
 bytes have no windows; rows with the same id never remove each other's bytes; a
-null id sorts last and loses to every other id; other columns pass through.
+null id sorts last and loses to every other id; other columns pass through,
+under the name ``in_<name>`` if an added column has theirs.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bytescan as bs
-from .blocks import Block, answer, ask, deliver, frame, pack, per_block, split_parts, unframe
-from .scratch import materialise, parts_for
+from .blocks import Block, answer, ask, deliver, frame, pack, per_block, split_parts, text_bytes, unframe
+from .scratch import materialise, parts_of, set_aside
 
 LENGTH = 50
 GRAM = 32
+#: Bytes of text of a hash part.
+PART_BYTES = 4 << 20
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 #: Starts of windows handled at once.
 STEP = 1 << 20
 U = np.uint64
@@ -154,7 +158,7 @@ def contexts(b: Block, mail: dict[int, bytes], parts: int, length: int, gram: in
 
 
 def _distinct(b: Block, a, s, e, h, doc, length: int):
-    """Order by (hash, place of the anchor, context); numbers of equal contexts."""
+    """Order by (hash, place of the anchor, context); numbers of equal contexts, whose bytes are compared."""
     ctx = np.zeros(len(s), U)
     for at in range(0, len(b.buf), STEP):
         here = slice(*np.searchsorted(s, [at, at + STEP]))
@@ -163,8 +167,20 @@ def _distinct(b: Block, a, s, e, h, doc, length: int):
             ctx[here] = bs.mix(bs.span_hash(pre, s[here] - at, e[here] + length - at) + ((a[here] - s[here]) * 256 + (e[here] - s[here])).astype(U))
     order = np.lexsort((doc, ctx, h))
     c, k = ctx[order], h[order]
-    first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]) if len(order) else np.zeros(0, np.int64)
-    return order, first
+    new = np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])] if len(order) else np.zeros(0, bool)
+    start, left, size = s[order], (a - s)[order], (e - s)[order] + length
+    for i in np.array_split(np.flatnonzero(~new), 1 + int((~new).sum() >> 16)):
+        if not _same_bytes(b.buf, start, left, size, i - 1, i):
+            new[:] = True  # a hash collision: no context stands for another one
+            break
+    return order, np.flatnonzero(new)
+
+
+def _same_bytes(buf, start, left, size, p: np.ndarray, q: np.ndarray) -> bool:
+    """Are the contexts p[i] and q[i] the same bytes with the anchor at the same place, for every i?"""
+    if (size[p] != size[q]).any() or (left[p] != left[q]).any():
+        return False
+    return bool((_gather(buf, start[p], size[p]) == _gather(buf, start[q], size[q])).all())
 
 
 def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -308,7 +324,7 @@ def _window_reply(length: int, gram: int):
         for at in range(0, len(order) - 1, 1 << 16):  # verify equal contexts by their bytes
             i = np.flatnonzero(~new[1:][at : at + (1 << 16)]) + at
             p, q = order[i], order[i + 1]
-            if (size[p] != size[q]).any() or (_gather(buf, begin[p], size[p]) != _gather(buf, begin[q], size[q])).any():
+            if not _same_bytes(buf, begin, left, size, p, q):
                 new[:] = True
                 break
         number = np.empty(len(order), np.int64)
@@ -374,9 +390,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Where a cut falls inside a character, the text leaves the broken character
     out; kept_sha256 is of the kept bytes themselves.
     """
-    spark = docs.sparkSession
-    parts = parts_for(spark)
+    docs, name = set_aside(docs, ADDED)
+    id_col, text_col = name(id_col), name(text_col)
     blocks = pack(docs, text_col, "suffix")
+    parts = parts_of(text_bytes(blocks), PART_BYTES)
     shared = materialise(answer(ask(blocks, _shared_question(parts, length, gram, id_col)), _shared_reply), "anchors")
     asked = ask(deliver(blocks, shared), _window_question(parts, length, gram, id_col), replies=True)
     low = materialise(answer(asked, _window_reply(length, gram)), "windows")
