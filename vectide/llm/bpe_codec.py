@@ -3,27 +3,29 @@
 A rolling hash over the last bytes cuts texts into chunks, so passages that
 texts share give the same chunks wherever they stand. A distinct chunk is
 encoded once and its ids are used for each copy. A cut may fall inside a word:
-the ids of a chunk are kept only between its first and its last safe place, and
-the bytes from the last safe place before a cut to the first one after it are
-encoded again as one stretch, over as many chunks as that takes. At a safe
-place, white space after another character, the splitting pattern of the
-vocabulary always ends a word and looks no further back, so there the joined
-ids and those of the whole text agree exactly. Words met before are looked up
-too. Every text is decoded; if the bytes differ from the text's, the library
-encodes and decodes that text as a whole.
+the ids of a chunk are those between its first and its last safe place, white
+space after another character, where splitting patterns end a word and look no
+further back. Around each cut the bytes between two safe places, and the words
+next to them on either side, are encoded again as one window, and the ids of the
+whole must agree with the window's to both its ends. If they don't, the window
+is widened, twice as many words each time, until its outer words have the ids
+that stand there already, or it is the whole text. Every text is decoded; if the
+bytes differ from the text's, the library encodes and decodes it as a whole.
 
 Chunks are shared within a Python worker, across the texts of all its tasks, in
-tables of bounded size that start afresh when full. Sharing them across workers
-would shuffle all chunk texts and all ids, more bytes than the input has.
+a table of bounded size that starts afresh when full; so are the words between
+safe places of which a new chunk is made. Windows are always encoded by the library. The README
+says what sharing them across workers would cost.
 
 Defined cases: a null text is empty and stays null; an empty text has no ids;
 very long texts and texts without white space are encoded like others; other
-columns pass through.
+columns pass through, under the name ``in_<name>`` if an added column has theirs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -35,13 +37,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bytescan as bs
+from .scratch import set_aside
 
 U = np.uint64
 VOCABULARY = "byte_bpe_50k.json"
 ROLL = 16
 #: One place in so many is a cut, on average.
 CHUNK_BYTES = 256
-MOST_KEYS, MOST_IDS = 1 << 19, 4 << 20
+#: Bounds of a table: 24 bytes a key and 2 bytes an id, twice that while it grows.
+MOST_KEYS, MOST_IDS = 1 << 21, 16 << 20
+#: Bytes of unknown words that the library encodes as one text.
+JOINED_BYTES = 1 << 16
+ADDED = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 class Table:
@@ -86,7 +93,7 @@ def safe_places(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def cut_places(buf: np.ndarray, offs: np.ndarray, every: int) -> np.ndarray:
     """Starts of texts, and places before which the last ``ROLL`` bytes of the text hash to 0 modulo ``every``."""
-    starts = np.unique(offs[:-1][offs[:-1] < len(buf)])
+    starts = offs[:-1][np.diff(offs) > 0]
     if len(buf) <= ROLL:
         return starts
     pre = bs.prefix(buf)
@@ -94,7 +101,7 @@ def cut_places(buf: np.ndarray, offs: np.ndarray, every: int) -> np.ndarray:
     at = np.flatnonzero(h % U(every) == 0) + ROLL
     at = at[(buf[at] & 0xC0) != 0x80]
     at = at[at - starts[np.searchsorted(starts, at, "right") - 1] >= ROLL]
-    return np.union1d(starts, at)
+    return np.sort(np.concatenate([starts, at]))  # a cut is never a start
 
 
 class Codec:
@@ -115,87 +122,151 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         assert len(table) <= 1 << 16
-        self.words, self.chunks = Table(), Table()
-        self.encoded_words = self.encoded_chunks = self.met_chunks = 0
+        self.table, self.words = Table(), Table()
+        self.met = self.encoded = self.repaired = 0
+
+    def by_library(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each span, all ids), by the library.
+
+        joins: does the span begin at a safe place and end before one? Such spans go one after the other as one text: each
+        begins at a safe place there too.
+        """
+        count = np.zeros(len(start), np.int64)
+        lone = np.flatnonzero(~joins)
+        joined = np.flatnonzero(joins)
+        size = end[joined] - start[joined]
+        data = buf[spans(start[joined], size)]
+        bounds = np.r_[0, np.cumsum(size)]
+        cuts = bounds[np.flatnonzero(np.r_[True, np.diff(bounds[:-1] // JOINED_BYTES) > 0])] if len(joined) else bounds[:0]
+        texts = [data[i:j].tobytes().decode() for i, j in zip(cuts, np.r_[cuts[1:], len(data)])]
+        ids = self._ids(texts)
+        place = np.r_[0, np.cumsum(self.size[ids])]
+        at = np.searchsorted(place, bounds)
+        if not np.array_equal(place[at], bounds):  # a vocabulary that splits otherwise: every span by itself
+            lone, joined, ids, at = np.arange(len(start)), joined[:0], ids[:0], at[:1]
+        count[joined] = np.diff(at)
+        got = [e.ids for e in self.library.encode_batch_fast([buf[i:j].tobytes().decode() for i, j in zip(start[lone].tolist(), end[lone].tolist())], add_special_tokens=False)]
+        count[lone] = [len(x) for x in got]
+        both = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(count[lone].sum()))])
+        where = np.empty(len(start), np.int64)
+        where[joined] = at[:-1]
+        where[lone] = len(ids) + np.cumsum(count[lone]) - count[lone]
+        return count, both[spans(where, count)]
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        got = [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint16), *got])
 
-    def encode_words(self, buf: np.ndarray, pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each stretch between safe places, all ids)."""
+    def lookup(self, table: Table, buf: np.ndarray, pre: np.ndarray, start: np.ndarray, end: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each span, all ids); ``encode(start, end)`` gives those of the spans that the table hasn't."""
         key = bs.mix(bs.span_hash(pre, start, end) + (end - start).astype(U))
         distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at, found = self.words.find(distinct)
+        at, found = table.find(distinct)
         count = np.zeros(len(distinct), np.int64)
-        count[found] = self.words.count[at[found]]
-        old = self.words.ids[spans(self.words.start[at[found]], count[found])]
+        count[found] = table.count[at[found]]
+        old = table.ids[spans(table.start[at[found]], count[found])]
         new = np.flatnonzero(~found)
-        texts = [buf[i:j].tobytes().decode() for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-        got = [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        count[new] = [len(x) for x in got]
-        fresh = np.concatenate([np.zeros(0, np.uint16), *got])
+        count[new], fresh = encode(start[first[new]], end[first[new]])
         ids = np.concatenate([old, fresh])
         place = np.empty(len(distinct), np.int64)
         place[found] = np.cumsum(count[found]) - count[found]
         place[new] = len(old) + np.cumsum(count[new]) - count[new]
-        self.words.add(distinct[new], count[new], fresh)
-        self.encoded_words += len(new)
+        table.add(distinct[new], count[new], fresh)
         return count[inverse], ids[spans(place[inverse], count[inverse])]
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
-        n = len(offs) - 1
         if not len(buf):
-            return np.zeros(n, np.int64), np.zeros(0, np.uint16)
+            return np.zeros(len(offs) - 1, np.int64), np.zeros(0, np.uint16)
         pre = bs.prefix(buf)
         safe = safe_places(buf, offs)
-        stretch_end = np.r_[safe[1:], len(buf)]
+        text = np.searchsorted(offs, safe, "right") - 1
+        end = np.r_[safe[1:], len(buf)]  # of the stretch from each safe place to the next
+        joins = np.zeros(len(buf) + 1, bool)  # safe places after a character, not starts of texts
+        joins[safe] = True
+        joins[offs] = False
+
+        def whole_spans(start: np.ndarray, end: np.ndarray):
+            return self.by_library(buf, start, end, joins[start] & joins[end])
+
+        def by_words(start: np.ndarray, stop: np.ndarray):
+            """The ids of spans between safe places, word by word: words met before aren't encoded again."""
+            self.encoded += len(start)
+            lo, hi = np.searchsorted(safe, start), np.searchsorted(safe, stop)
+            at = spans(lo, hi - lo)
+            n, ids = self.lookup(self.words, buf, pre, safe[at], end[at], whole_spans)
+            return np.bincount(np.repeat(np.arange(len(lo)), hi - lo), weights=n, minlength=len(lo)).astype(np.int64), ids
+
         cut = cut_places(buf, offs, every)
         cut_end = np.r_[cut[1:], len(buf)]
-        # stretches that lie in one chunk belong to it; the others are joins
-        chunk = np.searchsorted(cut, safe, "right") - 1
-        whole = stretch_end <= cut_end[chunk]
+        # a chunk's own part: its stretches, without one that goes beyond its end
         lo, hi = np.searchsorted(safe, cut), np.searchsorted(safe, cut_end)
-        # a chunk's kept part: its whole stretches
-        cum = np.r_[0, np.cumsum(whole)]
-        n_in = cum[hi] - cum[lo]
-        # what is whole also depends on whether the chunk's own ends are safe
-        ends = np.isin(cut, safe) * 2 + (np.isin(cut_end, safe) | (cut_end == len(buf)))
-        key = bs.mix(bs.span_hash(pre, cut, cut_end) + ((cut_end - cut) * 4 + ends).astype(U))
-        distinct, first = np.unique(key, return_index=True)
-        inverse = np.searchsorted(distinct, key)
-        at, found = self.chunks.find(distinct)
-        self.met_chunks += len(key)
-        self.encoded_chunks += int((~found).sum())
-        kept_count, kept_start = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        kept_count[found], kept_start[found] = self.chunks.count[at[found]], self.chunks.start[at[found]]
-        pool = self.chunks.ids
-        # encode new chunks' whole stretches, and all joins
-        new = first[~found]
-        is_new = np.zeros(len(cut), bool)
-        is_new[new] = True
-        join = np.flatnonzero(~whole)
-        inner = np.flatnonzero(whole & is_new[chunk])
-        todo = np.concatenate([inner, join])
-        c, ids = self.encode_words(buf, pre, safe[todo], stretch_end[todo])
-        inner_ids = int(c[: len(inner)].sum())
-        per_chunk = np.bincount(chunk[inner], weights=c[: len(inner)], minlength=len(cut)).astype(np.int64)
-        in_place = np.argsort(new, kind="stable")  # inner stretches stand in order of place
-        made = np.cumsum(per_chunk[new[in_place]]) - per_chunk[new[in_place]]
-        begin = np.empty(len(new), np.int64)
-        begin[in_place] = made
-        kept_count[~found], kept_start[~found] = per_chunk[new], begin + len(pool)
-        pool = np.concatenate([pool, ids[:inner_ids]])
-        join_start = len(pool) + np.cumsum(c[len(inner) :]) - c[len(inner) :]
-        pool = np.concatenate([pool, ids[inner_ids:]])
-        # put chunks and joins in order: a chunk's kept part stands at its first whole stretch
-        some = np.flatnonzero(n_in > 0)
-        lead = np.flatnonzero(whole)[cum[lo[some]]]
-        where = np.concatenate([lead, join])
-        order = np.argsort(where, kind="stable")
-        size = np.concatenate([kept_count[inverse[some]], c[len(inner) :]])[order]
-        source = np.concatenate([kept_start[inverse[some]], join_start])[order]
-        out = pool[spans(source, size)]
-        text = np.searchsorted(offs, safe[where[order]], "right") - 1
-        self.chunks.add(distinct[~found], kept_count[~found], ids[spans(begin, kept_count[~found])])
-        return np.bincount(text, weights=size, minlength=n).astype(np.int64), out
+        lo, hi = lo[hi > lo], hi[hi > lo]
+        start, stop = safe[lo], np.where(end[hi - 1] <= cut_end[np.searchsorted(cut, safe[hi - 1], "right") - 1], end[hi - 1], safe[hi - 1])
+        start, stop = start[stop > start], stop[stop > start]
+        self.met += len(start)
+        own, ids = self.lookup(self.table, buf, pre, start, stop, by_words)
+        # windows around the cuts inside texts: the stretch that a cut divides, if one, and those beside it
+        inner = cut[offs[np.searchsorted(offs, cut, "right") - 1] != cut]
+        t = np.searchsorted(safe, inner) - 1
+        t, first = np.unique(t, return_index=True)
+        divided = end[t] > inner[first]
+        before = np.where(divided & (t > 0), t - 1, t)
+        left = np.where(text[before] == text[t], before, t)
+        after = np.minimum(t + 1, len(safe) - 1)
+        right = np.where(text[after] == text[t], after, t)
+        x, y = safe[left], end[right]
+        size, window = self.by_library(buf, x, y, joins[x] & joins[y])
+        # a divided stretch takes its ids from the middle of its window
+        place = np.r_[0, np.cumsum(self.size[window])]
+        base = place[np.cumsum(size) - size]
+        want = np.stack([base + safe[t] - x, base + end[t] - x])[:, divided]
+        i, j = np.searchsorted(place, want)
+        whole = (place[i] == want[0]) & (place[j] == want[1])
+        d = t[divided]
+        alone, alone_ids = whole_spans(safe[d[~whole]], end[d[~whole]])
+        join, source = j - i, len(ids) + i
+        join[~whole], source[~whole] = alone, len(ids) + len(window) + np.cumsum(alone) - alone
+        order = np.argsort(np.concatenate([start, safe[d]]), kind="stable")
+        out = np.concatenate([ids, window, alone_ids])[spans(np.concatenate([np.cumsum(own) - own, source])[order], np.concatenate([own, join])[order])]
+        # the ids of the whole must be those of every window
+        place = np.r_[0, np.cumsum(self.size[out])]
+        i, j = np.searchsorted(place, x), np.searchsorted(place, y)
+        agree = (place[i] == x) & (place[j] == y) & (j - i == size)
+        k = np.flatnonzero(agree)
+        differs = out[spans(i[k], size[k])] != window[spans((np.cumsum(size) - size)[k], size[k])]
+        agree[k] = np.bincount(np.repeat(np.arange(len(k)), size[k]), weights=differs, minlength=len(k)) == 0
+        bounds = np.searchsorted(place, offs)
+        if agree.all():
+            return np.diff(bounds), out
+        texts = [out[p:q] for p, q in zip(bounds[:-1], bounds[1:])]
+        for n in np.flatnonzero(~agree):
+            row = text[t[n]]
+            own_safe = np.r_[safe[text == row], offs[row + 1]] - offs[row]
+            texts[row] = self.repair(buf[offs[row] : offs[row + 1]], own_safe, int(t[n] - np.searchsorted(text, row)), texts[row])
+        return np.array([len(x) for x in texts], np.int64), np.concatenate(texts)
+
+    def repair(self, buf: np.ndarray, safe: np.ndarray, t: int, ids: np.ndarray) -> np.ndarray:
+        """The ids of a text, with a window around its stretch t encoded again: wider until its outer stretches agree."""
+        self.repaired += 1
+        wide = 2
+        while True:
+            lo, hi = max(0, t - wide), min(len(safe) - 1, t + 1 + wide)
+            x, y = safe[lo], safe[hi]
+            new = np.array(self.library.encode(buf[x:y].tobytes().decode(), add_special_tokens=False).ids, np.uint16)
+            if not lo and hi == len(safe) - 1:
+                return new
+            place, inside = np.r_[0, np.cumsum(self.size[ids])], x + np.r_[0, np.cumsum(self.size[new])]
+
+            def same(p: int, q: int) -> bool:
+                """Do both have the same ids from byte p to byte q?"""
+                a, b = np.searchsorted(place, [p, q]), np.searchsorted(inside, [p, q])
+                return [*place[a], *inside[b]] == [p, q, p, q] and np.array_equal(ids[a[0] : a[1]], new[b[0] : b[1]])
+
+            if (not lo or same(x, safe[lo + 1])) and (hi == len(safe) - 1 or same(safe[hi - 1], y)):
+                i, j = np.searchsorted(place, [x, y])
+                return np.concatenate([ids[:i], new, ids[j:]])
+            wide *= 2
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[spans(self.start[ids], self.size[ids])]
@@ -243,6 +314,8 @@ def encode_batch(c: Codec, column, every: int) -> Iterator[tuple[np.ndarray, np.
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, every: int = CHUNK_BYTES, with_ids: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, and token_ids (array<int>) if ``with_ids``."""
+    docs, name = set_aside(docs, (*ADDED, "token_ids") if with_ids else ADDED)
+    text_col = name(text_col)
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         extra.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
@@ -271,6 +344,8 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give a null text."""
+    encoded, name = set_aside(encoded, (text_col,))
+    ids_col = name(ids_col)
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
     arrow, at = to_arrow_schema(schema), encoded.columns.index(ids_col)
 
