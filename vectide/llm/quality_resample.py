@@ -13,9 +13,11 @@ The threshold is found exactly by counting keys in ever finer bins; no task sort
 all keys.
 
 Defined cases: null and empty texts have weight 0 (log); rows with the same id
-and text have the same key, and rows that tie with the threshold are all drawn;
-of repeated labels of an id the larger holds, null labels are ignored; without
-good labels both models are the same; an empty table gives an empty result.
+and text have the same key, and of rows that tie with the threshold so many are
+drawn that the sample has k; of repeated labels of an id the larger holds, null
+labels are ignored; without good labels both models are the same; an empty table
+gives an empty result. The result has the id and the columns below; no other
+column is read, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def counts(texts: DataFrame, text_col: str) -> np.ndarray:
 
 
 def threshold(keys: DataFrame, k: int) -> float:
-    """The k-th largest value of ``key``."""
+    """The k-th largest value of the column ``key``."""
     lo, hi = keys.agg(F.min("key"), F.max("key")).first()
     above = 0  # keys over hi
     while lo < hi:
@@ -114,14 +116,22 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = SEED) -> DataFrame:
     """Per row: id, log_weight, key, selected: is it among the k largest keys?"""
-    keys = materialise(weigh(docs, labels, id_col, text_col, label_col, seed), "weights").withColumnRenamed("id", id_col)
+    keys = weigh(docs, labels, id_col, text_col, label_col, seed).withColumn("row", F.monotonically_increasing_id().cast("double"))
+    keys = materialise(keys, "weights").withColumnRenamed("id", id_col)
     if share is None:
         share = labels.groupBy(id_col).agg(F.max(label_col).alias("y")).agg(F.avg("y")).first()[0]
         share = 1.0 if share is None else float(share)
     k = math.ceil(share * keys.count())
     if not k:
-        return keys.withColumn("selected", F.lit(False))
-    return keys.withColumn("selected", F.col("key") >= threshold(keys, k))
+        return keys.withColumn("selected", F.lit(False)).drop("row")
+    least = threshold(keys, k)
+    drawn = F.col("key") > least
+    ties, over = keys.where(F.col("key") == least), keys.where(drawn).count()
+    if ties.count() > k - over:  # the same id and text more than once: as many of them as make k
+        tied = F.col("row") >= threshold(ties.select(F.col("row").alias("key")), k - over)
+    else:
+        tied = F.lit(True)
+    return keys.withColumn("selected", drawn | (F.col("key") == least) & tied).drop("row")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

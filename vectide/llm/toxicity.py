@@ -7,14 +7,17 @@ the sentences through that product, so the sentences that explain the label get
 the weight; the scorer returns them with the document.
 
 Training reads at most ``SAMPLE`` labelled documents of each class, those with
-the least hash of the id; scoring reads every text whole. Features that stand in
+the least hash of the id, of at most ``SAMPLE_BYTES`` together (a text that would
+exceed that is passed over, not cut); scoring reads every text whole. Features that stand in
 fewer than ``LEAST_DOCS`` sampled documents, or about as often in either class,
 weigh nothing.
 
 Defined cases: null and empty texts, and texts without words, have no sentence
 and score 0; a null id counts as the empty string in the split; of repeated
 labels of an id the larger holds, null labels and labels of unknown ids are
-ignored; without labels of either class every score is 0.
+ignored; without labels of either class every score is 0. Repeated rows are
+scored one by one. The result has the id and the columns below; no other column
+of the documents is read, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .substring_dedup import sentences
 U = np.uint64
 BUCKET_BITS = 20
 PREFIXES = (4, 5)
-SAMPLE = 3000
+SAMPLE, SAMPLE_BYTES = 3000, 8 << 20
 LEAST_DOCS = 4
 #: Features whose shares of toxic and clean documents differ by fewer standard errors weigh nothing.
 LEAST_Z = 4.0
@@ -58,7 +61,7 @@ def features(buf: np.ndarray, offs: np.ndarray):
         found.append(bs.mix(bs.span_hash(pre, start[long], start[long] + k) + U(k)))
         where.append(sent[long])
     bucket = (np.concatenate(found) >> U(64 - BUCKET_BITS)).astype(np.int64)
-    pair = np.unique(np.concatenate(where) << BUCKET_BITS | bucket)
+    pair = bs.distinct(np.concatenate(where) << BUCKET_BITS | bucket)
     return pair & ((1 << BUCKET_BITS) - 1), pair >> BUCKET_BITS, (s, e, row)
 
 
@@ -73,7 +76,7 @@ def fit(bucket: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
     stands_for: the labelled documents that one of the sample stands for, clean and toxic.
     """
     n_docs, n_sent = len(y), len(doc_of)
-    seen = np.unique(bucket * n_docs + doc_of[sent])
+    seen = bs.distinct(bucket * n_docs + doc_of[sent])
     seen, doc = seen // n_docs, seen % n_docs
     toxic, clean = (np.bincount(seen, weights=y[doc] == k, minlength=1 << BUCKET_BITS) for k in (1, 0))
     # score of the difference between two shares, by the pooled share
@@ -111,14 +114,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """Weights learned from at most ``sample`` labelled documents of each class."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~split_of(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     count = {r.y: r["count"] for r in marked.where(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
-    # the sample is cut per class: in the loss each class has the share that it has among all training labels
-    stands_for = tuple(max(1.0, count.get(y, 0) / max(1, sample)) for y in (0, 1))
-    chosen = None
+    some = None
     for y in (0, 1):
-        some = marked.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    # at most 2 * sample rows of two numbers: a proven bound
-    texts = docs.select(id_col, text_col).join(F.broadcast(materialise(chosen, "toxic-sample")), id_col).select(id_col, text_col, "y")
+        part = marked.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+        some = part if some is None else some.unionByName(part)
+    # at most 2 * sample rows of a few numbers, here and below: a proven bound
+    sized = docs.select(id_col, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("size")).join(F.broadcast(materialise(some, "toxic-sample")), id_col)
+    sized = sized.groupBy(id_col, "y").agg(F.sum("size").alias("size")).orderBy(F.xxhash64(id_col), id_col).collect()
+    taken, chosen = [0, 0], []
+    for r in sized:
+        if taken[r.y] + r["size"] <= SAMPLE_BYTES:
+            taken[r.y] += r["size"]
+            chosen.append((r[id_col], r.y))
+    # in the loss each class has the share that it has among all training labels
+    stands_for = tuple(max(1.0, count.get(y, 0) / max(1, sum(c == y for _, c in chosen))) for y in (0, 1))
+    chosen = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[id_col], T.StructField("y", T.IntegerType())]))
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +176,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for i, j in bs.slices(offs):
                 piece, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 bucket, sent, (s, e, row) = features(piece, at)
-                live = np.unique(sent)
+                live = bs.distinct(sent)
                 n.append(np.bincount(row[live], minlength=j - i))
                 if model.value is None:
                     p.append(np.zeros(j - i))

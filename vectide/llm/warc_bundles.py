@@ -19,7 +19,8 @@ most files that nobody reads.
 Defined cases: a null payload is empty; a null URL is an empty one; line ends in
 a URL become spaces; a null id is a response only if no equal payload has an
 id; rows that repeat an id and payload are all responses or all revisits; an
-empty table gives an empty index.
+empty table gives an empty index; columns besides id, URL and payload are not
+read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise, shared_dir
+from .scratch import materialise, own_dir
 
 FRAME_BYTES = 512 << 10
 BUNDLE_BYTES = 32 << 20
@@ -218,7 +219,7 @@ def fetch(folder: str, entry) -> tuple:
 def digest(pages: DataFrame) -> DataFrame:
     """The columns of ``op2``."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/vectide-warc-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     index = write(pages, folder)
     if index.isEmpty():
         return spark.createDataFrame([], _RECORD).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
