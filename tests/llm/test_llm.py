@@ -132,57 +132,73 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.digest(empty).count() == 0
 
 
-def test_substring_dedup_brute_force(docs):
-    def runs(t):
-        s = [m.group() for m in re.finditer(rb"[^\n]*?(?:[.!?;:,](?=[\x20\x09-\x0D]|$)|\n|$)", t) if m.group()]
-        w = [WHITE.findall(x.lower()) for x in s]
-        idx = [i for i, x in enumerate(w) if x]
-        out = []
-        for a in range(len(idx)):
-            n = 0
-            for b in range(a, len(idx)):
-                n += len(w[idx[b]])
-                if b > a and n >= substring_dedup.MIN_WORDS:
-                    out.append((tuple(x for k in idx[a : b + 1] for x in w[k]), idx[a], idx[b], a, b, idx))
-                    break
-        return s, out
+def sentences(t):
+    """The words of every sentence of a text that has one."""
+    found = [m.group() for m in re.finditer(rb"[^\n]*?(?:[.!?](?=[\x20\x09-\x0D]|$)|\n|$)", t) if m.group()]
+    return [w for w in (WHITE.findall(x.lower()) for x in found) if w]
 
-    rows = [r for r in corpus() if r[0] is not None]
-    rows = sorted({r[0]: r for r in rows}.values())
-    seen, removed = set(), {}
+
+def removed_sentences(rows, min_words):
+    """Sentences that a repeated run of any length covers; rows in the order of their ids."""
+    seen, out = set(), {}
     for r in rows:
-        s, out = runs(text_of(r))
+        u = sentences(text_of(r))
+        runs = [(tuple(sum(u[a:b], [])), a, b) for a in range(len(u)) for b in range(a + 2, min(len(u), a + 40) + 1)]
+        runs = [x for x in runs if len(x[0]) >= min_words]
         gone = set()
-        for words, _, _, a, b, idx in out:
+        for words, a, b in runs:
             if words in seen:
-                gone.update(idx[a : b + 1])
+                gone.update(range(a, b))
             seen.add(words)
-        removed[r[0]] = len(gone)
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r.n_removed for r in substring_dedup.digest(one).collect()}
-    assert got == removed
-
+        out[r[0]] = len(u), len(gone)
+    return out
 
-def test_substring_dedup_removes_whole_repeated_spans(spark):
-    def units(t):
-        return [re.findall(r"[^ ]+", x.lower()) for x in re.split(r"(?<=[.!?;:,]) ", t)]
 
+@pytest.mark.parametrize("min_words", [0, substring_dedup.MIN_WORDS])
+def test_substring_dedup_brute_force(spark, min_words):
     rnd = random.Random(4)
     vocab = [f"w{k}" for k in range(5000)]
-    prose = lambda n: " ".join(rnd.choice(vocab) + rnd.choice(["", "", "", "", ".", ","]) for _ in range(n)) + "."
+    prose = lambda n: " ".join(rnd.choice(vocab) + rnd.choice(["", "", "", "", "", ",", "."]) for _ in range(n)) + "."
     shared = [prose(rnd.randrange(12, 60)) for _ in range(6)]
-    rows = [(1, "A b c d e f g h, i j k l, anntly re."), (2, "A b c d e f g h, i j k l, anntly re.")]
-    rows += [(i, " ".join([prose(20), shared[i % 6], prose(20)] if i % 2 else [shared[i % 6]])) for i in range(3, 40)]
-    seen, want = set(), {}
-    for i, t in rows:
-        u = units(t)
-        runs = [(tuple(sum(u[a:b], [])), a, b) for a in range(len(u)) for b in range(a + 2, len(u) + 1)]
-        runs = [r for r in runs if len(r[0]) >= substring_dedup.MIN_WORDS]
-        want[i] = len({k for w, a, b in runs if w in seen for k in range(a, b)})
-        seen.update(w for w, _, _ in runs)
+    more = [(100, "A b c d e f g h. I j k l. Anntly re."), (101, "A b c d e f g h. I j k l. Anntly re.")]
+    more += [(i, " ".join([prose(20), shared[i % 6], prose(20)] if i % 2 else [shared[i % 6]])) for i in range(102, 140)]
+    rows = sorted({r[0]: r[:2] for r in corpus() if r[0] is not None and r[0] != 86}.values()) + more  # 86: too long for this
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), min_words=min_words).collect()}
+    assert {i: (r.n_sentences, r.n_removed) for i, r in got.items()} == removed_sentences(rows, min_words)
+    assert got[101].text == ""
+
+
+def test_text_inside_one_sentence_stays(spark):
+    tail = "In accordance with the terms of this agreement here, the parties hereby agree to all of it."
+    rows = [(1, f"Alpha beta, {tail}"), (2, f"Delta epsilon words, {tail}"), (3, tail), (4, tail)]
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[1].n_removed == 0 and got[2].text == ""
-    assert {i: r.n_removed for i, r in got.items()} == want
+    assert all(r.n_sentences == 1 and r.n_removed == 0 and r.text == dict(rows)[i] for i, r in got.items())
+
+
+def test_runs_with_one_equal_hash_are_not_equal():
+    z, bs, u = __import__("zstandard").ZstdCompressor(1), substring_dedup.bs, np.uint64
+
+    def body(h, h2, ids):
+        return substring_dedup.frame(*(bs.pack_ints(np.array(x, u), z) for x in (bs.deltas(np.array(h, u)), h2, ids)))
+
+    first, second = substring_dedup._reply([body([5, 9], [1, 2], [0, 0]), body([5, 9], [1, 3], [1, 1])])
+    marks = np.unpackbits(np.frombuffer(__import__("zstandard").ZstdDecompressor().decompress(second), np.uint8), count=2)
+    assert first is None and marks.tolist() == [1, 0]
+
+
+def test_contexts_with_equal_hashes_are_compared(monkeypatch):
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdef") for _ in range(400)).encode()
+    b = suffix_dedup.Block.__new__(suffix_dedup.Block)
+    b.buf, b.offs = np.frombuffer(text + text, np.uint8), np.array([0, 400, 800])
+    a, h = suffix_dedup.anchors(b.buf, b.offs, 50, 32)
+    own, s, e = suffix_dedup.windows(b.offs, a, 50, 32)
+    doc = np.searchsorted(b.offs, s, "right") - 1
+    order, first = suffix_dedup._distinct(b, a[own], s, e, h[own], doc, 50)
+    assert len(order) == len(s) and len(first) == len({(text + text)[x : y + 50] for x, y in zip(s, e)}) < len(s)
+    monkeypatch.setattr(suffix_dedup.bs, "mix", lambda x: np.zeros(len(x), np.uint64))
+    order, first = suffix_dedup._distinct(b, a[own], s, e, np.zeros(len(s), np.uint64), doc, 50)
+    assert len(first) == len(s)  # one context stands for no other
 
 
 def test_lm_score(docs, empty):
@@ -203,19 +219,50 @@ def test_lm_score(docs, empty):
     assert lm_score.digest(empty).count() == 0
 
 
+def test_lm_score_brute_force(docs):
+    rows = corpus()
+    one, two, tokens = collections.Counter(), collections.Counter(), {}
+    for k, r in enumerate(rows):
+        tokens[k] = [x.lower() for x in WHITE.findall(text_of(r))] + [None]
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            one.update(tokens[k])
+            two.update(zip(["<s>", *tokens[k]], tokens[k]))
+    n, v, texts = sum(one.values()), len(one), one[None]
+
+    def log_p(before, t):
+        c_before = texts if before == "<s>" else one[before]
+        level = math.frexp(two[before, t])[1]
+        both = min((3 * 2 ** (level - 1) - 1) / 2 if level else 0, one[t], c_before)
+        return math.log10((both + lm_score.MU * (one[t] + 1) / (n + v + 1)) / (c_before + lm_score.MU))
+
+    got = by_id(lm_score.score(docs, bits=2000).collect())  # so many bits that no absent pair is seen
+    for k, r in enumerate(rows):
+        want = sum(log_p(b, t) for b, t in zip(["<s>", *tokens[k]], tokens[k]))
+        assert any(abs(g.score - want) < 1e-8 * abs(want) for g in got[r[0]])
+
+
+def test_lm_score_depends_on_the_data_alone(spark, docs):
+    found = []
+    for parts in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append(sorted((str(r.doc_id), r.score, r.known_pairs) for r in lm_score.score(docs.repartition(int(parts))).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
 def test_bloom_counts_are_quantised_and_bounded():
-    keys = lm_score.bs.mix(np.arange(5000, dtype=np.uint64))
+    keys = np.sort(lm_score.bs.mix(np.arange(5000, dtype=np.uint64)))
     count = np.where(np.arange(5000) % 10 == 0, 9, 1)
-    z = __import__("zstandard").ZstdCompressor(1)
-    order, low, _ = lm_score.split_parts(keys, 1, 40)
-    bs = lm_score.bs
-    body = lm_score.frame(bs.pack_ints(bs.deltas(low), z), bs.pack_ints(count[order], z))
-    slices = lm_score._slice(1 << 20)([body])
-    f = lm_score.Filter({0: slices[0]}, 1)
+    pieces = list(lm_score._slices(keys, count, 10**9, lm_score.BITS))
+    assert len(pieces) == 1 and len(list(lm_score._slices(keys, count, 1000, lm_score.BITS))) > 10
+    f = lm_score.Filter(pieces[0][1])
     got = f.count(keys)
     assert (got >= np.where(count == 9, 11.5, 1.0)).all()  # a Bloom filter never errs downwards
-    assert (got == np.where(count == 9, 11.5, 1.0)).mean() > 0.9
-    assert (f.count(bs.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) == 0).mean() > 0.9
+    assert (got == np.where(count == 9, 11.5, 1.0)).mean() > 0.98
+    absent = f.count(lm_score.bs.mix(np.arange(10**6, 10**6 + 50000, dtype=np.uint64))) > 0
+    assert absent.mean() < 0.01  # (1 - exp(-4 / 12)) ** 4 is 0.0065
 
 
 def test_lm_filter_keeps_its_bits_at_every_size(docs):
@@ -229,7 +276,7 @@ def test_lm_filter_keeps_its_bits_at_every_size(docs):
     absent = sum(len(tokens(r)) - 1 for r in held.values()) - sum(want.values())
     got = {g.doc_id: g.known_pairs for g in lm_score.score(docs, filter_mb=0.001).collect() if g.doc_id in held}
     assert absent > 100 and all(got[i] >= want[i] for i in want)
-    assert sum(got.values()) - sum(want.values()) < 0.06 * absent  # (1 - exp(-3 / 10)) ** 3 is 0.017
+    assert sum(got.values()) - sum(want.values()) < 0.03 * absent  # (1 - exp(-4 / 12)) ** 4 is 0.0065
 
 
 ITEM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -274,9 +321,9 @@ def test_last_window_is_searched_at_any_chunk(spark, monkeypatch, chunk):
     texts = [" ".join(f"{x}{k}" for k in range(8)) for x in "abc"]
     df = spark.createDataFrame([(i, " ".join(texts)) for i in range(4)], "doc_id bigint, text string").coalesce(1)
     shard = decontaminate.Shard(decontaminate.build_index(df).first().postings)
-    terms, size, _, _ = decontaminate.windows(list(enumerate(texts)), 8)
+    query = decontaminate.Query(list(enumerate(texts)), 8)
     monkeypatch.setattr(decontaminate, "CHUNK", chunk)
-    found, _, exact = shard.search(terms, size, 0)
+    found, _, exact = shard.search(query, 0)
     assert exact.all() and np.bincount(found, minlength=3).tolist() == [4, 4, 4]
 
 
@@ -288,6 +335,8 @@ def test_proximity(spark):
     assert (got[1].n_items, got[1].n_near) == (0, 1)
     assert (got[2].n_items, got[2].n_hit) == (1, 8)
     assert (got[3].n_items, got[3].n_near) == (0, 0)
+    found = decontaminate.matches(df, bench.unionByName(bench.selectExpr("7L AS item_id", "text")))
+    assert sorted(map(tuple, found.collect())) == sorted((d, i, 0, 8, d == 2) for d in (1, 2) for i in "17")
 
 
 @pytest.mark.parametrize("every", [3, 64, 256])
@@ -306,6 +355,7 @@ def test_bpe_equals_library(every):
 
 def test_bpe_tables_start_afresh(monkeypatch):
     monkeypatch.setattr(bpe_codec, "MOST_KEYS", 50)
+    monkeypatch.setattr(bpe_codec, "JOINED_BYTES", 40)
     c = bpe_codec.Codec(__import__("public_tokenizers").path(bpe_codec.VOCABULARY))
     texts = [r[1] for r in corpus()]
     for _ in range(2):
@@ -313,6 +363,40 @@ def test_bpe_tables_start_afresh(monkeypatch):
             assert ids.tolist() == c.library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_bpe_safe_places_are_safe():
+    """Every pair of a character before and white space after, and every start of the next word: parts encode as the whole."""
+    c = bpe_codec.codec(None)
+    ends = [chr(k) for k in (*range(0x21, 0x7F), 0xA0, 0x85, 0xE9, 0x3BB, 0x4E2D, 0x1F600, 0x661, 0xB2, 0x2028, 0x200B, 0x3000)] + ["s'", "'ll", "<|endoftext|>"]
+    whites = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", " \n ", "\n\n", "   \u3000"]
+    starts = ["a", "1", "!", "'s", "é", "中", "😀", "", "\u3000", "<|endoftext|>"]
+    n = 0
+    for x in ends:
+        for w in whites:
+            for y in starts:
+                text = f"ab{x}{w}{y}"
+                raw = np.frombuffer(text.encode(), np.uint8)
+                for at in bpe_codec.safe_places(raw, np.array([0, len(raw)]))[1:]:
+                    parts = [c.library.encode(raw[i:j].tobytes().decode(), add_special_tokens=False).ids for i, j in ((0, at), (at, len(raw)))]
+                    assert sum(parts, []) == c.library.encode(text, add_special_tokens=False).ids, text
+                    n += 1
+    assert n > 5000
+
+
+def test_bpe_windows_are_widened_until_they_agree(monkeypatch):
+    """With places taken for safe that are not, windows notice it and ids are repaired."""
+    monkeypatch.setattr(bpe_codec, "safe_places", lambda buf, offs: np.union1d(offs[:-1][np.diff(offs) > 0], np.flatnonzero((np.arange(len(buf)) % 7 == 0) & ((buf & 0xC0) != 0x80))))
+    c = bpe_codec.Codec(__import__("public_tokenizers").path(bpe_codec.VOCABULARY))
+    texts = ["internationalization " * 30, "", "The quick brown fox jumps over the lazy dog. " * 20]
+    c.encode(*bpe_codec.bs.flat(pa.array(texts)), 16)
+    assert c.repaired > 0
+    text = np.frombuffer(texts[2].encode(), np.uint8)
+    wrong = np.concatenate([c.library.encode(x, add_special_tokens=False).ids for x in (texts[2][:402], texts[2][402:])]).astype(np.uint16)
+    want = c.library.encode(texts[2], add_special_tokens=False).ids
+    assert wrong.tolist() != want
+    safe = np.r_[0, np.flatnonzero(text == 32), len(text)]
+    assert c.repair(text, safe, int(np.searchsorted(safe, 402)) - 1, wrong).tolist() == want
+
+
 def test_bpe_round_trip(docs, empty):
     out = bpe_codec.decode(bpe_codec.encode(docs)).collect()
     assert all(r.decoded == (r.text or "") for r in out) and len(out) == len(corpus())
@@ -361,30 +445,52 @@ def test_quality_rules(docs, empty):
     assert quality_rules.digest(empty).count() == 0
 
 
-def test_quality_fences_follow_the_group(spark):
-    rnd = random.Random(3)
-
-    def text(size):
-        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(size + rnd.randrange(-1, 2))) for _ in range(80))
-
-    rows = [(i, text(4), "en", "a") for i in range(150)] + [(i, text(12), "de", "b") for i in range(150, 300)]
-    rows += [(300, text(12), "en", "a"), (301, text(4), "de", "b"), (302, "# ".join(text(4).split(" ")), "en", "a")]
-    got = {r.doc_id: r.kept for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert all(got[i] for i in range(300)) and not any(got[i] for i in (300, 301, 302))
+def kept_by_rules(rows):
+    """Positions of the rows that the base rules and the exact tail quantiles of their groups keep."""
+    values = {}
+    for k, r in enumerate(rows):
+        n, chars, symbols, dup, repeated, failed = measures(r[1])
+        lines = sum(bool(x.strip(" \t\n\v\f\r")) for x in (r[1] or "").split("\n"))
+        if not failed:
+            values[k] = {"word_length": chars / n, "symbol_rate": symbols / n, "dup_line_share": dup / lines, "repeat_share": repeated / n}
+
+    def group(k):
+        for same in (lambda j: rows[j][2:4] == rows[k][2:4], lambda j: rows[j][2] == rows[k][2]):
+            found = [j for j in values if same(j)]
+            if len(found) >= quality_rules.LEAST_ROWS:
+                return found
+        return list(values)
+
+    out = set()
+    for k in values:
+        ok = True
+        for name, sides in quality_rules.SIDES.items():
+            low, high = np.quantile([values[j][name] for j in group(k)], [quality_rules.TAIL, 1 - quality_rules.TAIL], method="inverted_cdf")
+            ok &= (not sides[0] or values[k][name] >= low) and (not sides[1] or values[k][name] <= high)
+        if ok:
+            out.add(k)
+    return out
 
 
-def test_quality_fences_of_shares_follow_the_group(spark):
-    rnd = random.Random(5)
+def test_quality_limits_brute_force(spark):
+    """Groups with own limits, one that takes its language's, one that takes those of all texts, a null group."""
+    rnd = random.Random(3)
 
-    def text(lines, copies):
-        own = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(8)) for _ in range(lines)]
-        return "\n".join(own + own[:copies])
+    def text(size, symbols, copies):
+        lines = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(size + rnd.randrange(-1, 2))) + rnd.choice(["#"] * symbols + [""] * 20) for _ in range(8)) for _ in range(12)]
+        return "\n".join(lines + lines[: rnd.randrange(copies + 1)])
 
-    rows = [(i, text(16, 0), "en", "a") for i in range(150)] + [(i, text(16, 4 if i % 8 == 0 else 0), "de", "b") for i in range(150, 300)]
-    rows += [(300, text(16, 4), "en", "a"), (301, text(16, 4), "de", "b")]
-    got = {r.doc_id: r for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert not any(r.base_failed for r in got.values())
-    assert all(r.kept for i, r in got.items() if i != 300) and not got[300].kept
+    kinds = [("en", "a", 4, 0, 0, 260), ("de", "b", 9, 3, 4, 260), ("de", "c", 6, 1, 2, 40), (None, None, 5, 2, 1, 210), ("fr", "d", 7, 0, 6, 30)]
+    rows = [(0, text(*kind[2:5]), *kind[:2], 0) for kind in kinds for _ in range(kind[5])]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    found = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r.doc_id for r in quality_rules.digest(found).where("kept").collect()}
+    want = kept_by_rules(rows)
+    assert got == want and 5 < len(rows) - len(want) < 80
+    limits = quality_rules.thresholds(quality_rules.measured(found, "text"), ["lang", "source"]).collect()
+    assert len(limits) == len(kinds)
+    for c in quality_rules.SIDES:
+        assert len({r[f"hi_{c}"] for r in limits}) >= 3
 
 
 def jaccard_classes(rows):
@@ -524,6 +630,102 @@ def test_block_without_text(spark):
     assert [r.n_words for r in decontaminate.digest(df, bench).collect()] == [0, 0]
 
 
+def test_resample_log_weights_brute_force(spark):
+    docs, labels, rows = labelled(spark)
+    rows = rows + [(600, "long words here " * 4000), (600, "long words here " * 4000), (601, "tie"), (601, "tie"), (601, "tie")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    good = {i for i, *_ in rows if i is not None and i < 500 and i % 3 and i != 0} | {1}
+    hashed = {}
+
+    def grams(t):
+        if t not in hashed:
+            raw = np.frombuffer((t or "").encode(), np.uint8)
+            hashed[t] = quality_resample.ngrams(raw, np.array([0, len(raw)]))[0].tolist()
+            assert len(hashed[t]) == max(0, 2 * len((t or "").split()) - 1)
+        return hashed[t]
+
+    target, raw = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    b, s = quality_resample.BUCKETS, quality_resample.SMOOTH
+    ratio = lambda g: math.log((target[g] + s) / (target.total() + s * b)) - math.log((raw[g] + s) / (raw.total() + s * b))
+    out = quality_resample.resample(docs, labels, share=0.7)
+    got = by_id(out.collect())
+    for i, t in rows:
+        want = sum(map(ratio, grams(t)))
+        assert any(abs(g.log_weight - want) < 1e-6 * max(1, abs(want)) for g in got[i])
+    assert out.where("selected").count() == math.ceil(0.7 * len(rows))
+    copies = spark.createDataFrame([(1, "same text")] * 10, "doc_id bigint, text string")
+    for share in (0.35,):  # all keys tie
+        assert quality_resample.resample(copies, labels, share=share).where("selected").count() == math.ceil(share * 10)
+
+
+def test_toxicity_scores_brute_force(spark, monkeypatch):
+    """Noisy or over sentences from given weights: long texts, repeated rows, texts without words."""
+    words = {"vile": 3.0, "foul": 1.5, "nice": -2.0}
+    weights, bias = np.zeros(1 << toxicity.BUCKET_BITS, np.float32), -3.0
+    feature = lambda w: set(toxicity.features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].tolist())
+    for w, x in words.items():
+        for k in feature(w):
+            weights[k] += x
+    monkeypatch.setattr(toxicity, "train", lambda *a: (weights, bias))
+    rows = [(1, "So vile and foul. Very nice day! Vile"), (1, "So vile and foul. Very nice day! Vile"), (2, "..."), (3, None), (4, "nice\nnice. nice? foul foul"), (5, "plain words here. " * 20000 + "vile.")]
+    got = by_id(toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), None).collect())
+    for i, t in rows:
+        z = [sum(float(weights[k]) for k in set().union(*map(feature, set(re.findall("[a-z0-9]+", x.lower()))))) + bias for x in re.split(r"(?<=[.!?])\s|\n", t or "") if re.search("[A-Za-z0-9]", x)]
+        want = 1 - math.exp(sum(-math.log1p(math.exp(x)) for x in z))
+        assert len(got[i]) == sum(r[0] == i for r in rows)
+        for g in got[i]:
+            assert g.n_sentences == len(z) and abs(g.score - want) < 1e-9 and g.predicted == int(want >= 0.7)
+            assert len(g.offending) == sum(x >= 0 for x in z)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    rows = [(i, "plain words here. more vile talk." if i % 2 else "plain words here. more plain talk.", i % 2) for i in range(400)] + [(400, "vile " * 5000, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    out = toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("doc_id < 400").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
+CLASHING = ("n_words", "kept", "n_items", "n_bytes", "n_tokens", "n_removed", "vectide_key", "class_id", "score", "block", "in_kept", "\0size")
+
+
+def test_columns_of_the_same_names_come_back(spark):
+    names = [c for c in CLASHING if c != "\0size"]
+    text = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. "
+    rows = [(i, text * 4 + f"Own {i}.", "en", "a", *(f"{c}-{i}" for c in names)) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    bench = spark.createDataFrame([(1, "no such words")], "item_id bigint, text string")
+    results = [quality_rules.quality_rules(df), substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), decontaminate.decontaminate(df, bench), bpe_codec.encode(df), ngram_join.similar(df, carry=df.columns)]
+    for out in results:
+        got = {r.doc_id: r.asDict() for r in out.collect()}
+        for c in names:
+            own = [k for k in out.columns if k.removeprefix("in_").removeprefix("in_") == c.removeprefix("in_") and got[2][k] == f"{c}-2"]
+            assert len(own) == 1, (c, out.columns)
+    kept = ngram_join.deduplicate(df)
+    assert kept.columns == df.columns and all(r[c] == f"{c}-{r.doc_id}" for r in kept.collect() for c in names)
+
+
+def test_hashes_of_long_texts_in_slices(monkeypatch):
+    bs = ngram_join.bs
+    rnd = random.Random(1)
+    texts = ["", "x" * 9000, " ".join("w" * rnd.randrange(1, 9) for _ in range(3000)), " ", "", "ab cd", "\n" * 5000 + "z"]
+    buf, offs = bs.flat(pa.array(texts))
+    whole = bs.token_hashes(buf, offs, bs.WORDS_LOWER)
+    monkeypatch.setattr(bs, "SLICE_BYTES", 100)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, bs.token_hashes(buf, offs, bs.WORDS_LOWER)))
+
+
+def test_blocks_are_cut_by_rows_too(spark):
+    from vectide.llm import blocks
+
+    df = spark.createDataFrame([(i, None if i % 2 else "") for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+    assert blocks.packed(df, "text", 64 << 10).count() >= 3
+
+
 def test_queries_import_without_running():
     from vectide.llm import queries
 

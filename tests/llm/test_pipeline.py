@@ -7,9 +7,9 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_llm import ITEM, SCHEMA, WHITE, contaminated, corpus, jaccard_classes, measures  # noqa: E402
+from test_llm import ITEM, SCHEMA, WHITE, contaminated, corpus, jaccard_classes, kept_by_rules  # noqa: E402
 
-from vectide.llm import bpe_codec, quality_rules  # noqa: E402
+from vectide.llm import bpe_codec  # noqa: E402
 
 
 def rows_of():
@@ -17,34 +17,6 @@ def rows_of():
     return [r for r in corpus(3) if r[0] is not None]
 
 
-def kept_by_rules(rows):
-    values = {}
-    for k, r in enumerate(rows):
-        n, chars, symbols, dup, repeated, failed = measures(r[1])
-        lines = sum(bool(x.strip(" \t\n\v\f\r")) for x in (r[1] or "").split("\n"))
-        values[k] = failed, {"word_length": chars / n if n else 0, "symbol_rate": symbols / n if n else 0, "dup_line_share": dup / lines if lines else 0, "repeat_share": repeated / n if n else 0}
-    good = [k for k in values if not values[k][0]]
-
-    def group(k):
-        for same in (lambda j: rows[j][2:4] == rows[k][2:4], lambda j: rows[j][2] == rows[k][2]):
-            found = [j for j in good if same(j)]
-            if len(found) >= quality_rules.LEAST_ROWS:
-                return found
-        return good
-
-    out = []
-    for k in good:
-        ok = True
-        for name, (low, high) in quality_rules.SIDES.items():
-            q1, q3 = np.quantile([values[j][1][name] for j in group(k)], [0.25, 0.75], method="inverted_cdf")
-            reach = max(quality_rules.FENCE * (q3 - q1), quality_rules.SPREAD[name])
-            v = values[k][1][name]
-            ok &= (not low or v >= q1 - reach) and (not high or v <= q3 + reach)
-        if ok:
-            out.append(rows[k])
-    return out
-
-
 def one_of_each(rows):
     seen, out = set(), []
     for (i, c, _), r in zip(jaccard_classes(rows), rows):
@@ -76,7 +48,7 @@ def test_pipeline_brute_force(spark, tmp_path):
     items = [(1, " ".join(rows[61][1].split()[25:60])), (2, " ".join(rows[12][1].split()[:20]))]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    want = without_repeats(one_of_each(kept_by_rules(rows)))
+    want = without_repeats(one_of_each([rows[k] for k in sorted(kept_by_rules(rows))]))
     want = [r for r, (_, found) in zip(want, contaminated(want, items)) if not found[2]]
     library = bpe_codec.codec(None).library
     expected = {}
@@ -97,6 +69,28 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_stages_give_back_columns_of_any_name(spark, tmp_path):
+    names = ["n_words", "kept", "n_items", "n_bytes", "n_tokens", "vectide_key", "class_id", "_t_lang", "carried_9", "in_kept"]
+    rows = [(*r, *(f"{c}-{r[0]}" for c in names)) for r in corpus(3)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in names))
+    spark.createDataFrame([(1, "no such words in there at all my friend")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in names), name
+
+
+def test_results_of_stages_outlive_other_stages(spark, tmp_path):
+    docs = spark.createDataFrame(rows_of(), SCHEMA)
+    spark.createDataFrame([(1, "no such words in there at all my friend")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    first = [stage(spark, docs, str(tmp_path)) for _, stage in corpus_pipeline.STAGES]
+    second = [stage(spark, docs.limit(20), str(tmp_path)) for _, stage in corpus_pipeline.STAGES]
+    counts = [x.count() for x in first]
+    assert counts[2] == counts[4] == len(rows_of()) and 0 < counts[1] < counts[3] <= len(rows_of())
+    assert all(x.count() <= 20 for x in second)
+
+
 def test_words_of_the_contracts():
     assert WHITE.findall(b"a\x0bb\x1cc\x00") == [b"a", b"b\x1cc\x00"]
     assert ITEM.findall("a-b9é_c".encode()) == [b"a", b"b9\xc3\xa9", b"c"]
