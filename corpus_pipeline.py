@@ -2,7 +2,8 @@
 
 Documents that break the quality rules go, one document of each group of near
 copies stays, byte strings that an earlier document has are cut out, documents
-with benchmark passages go, and the rest is encoded.
+with benchmark passages go, and the rest is encoded. All but the last stage return
+the columns of their documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,66 +14,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bpe_codec, decontaminate, ngram_join, quality_rules, suffix_dedup
-from vectide.llm.scratch import collecting, materialise, remove
+from vectide.llm.scratch import discard, keep, passing
 
+#: What the stages read; other columns go through them under names of our own, so that no operator's column meets them.
+READ = ("doc_id", "text", "lang", "source")
 
+
+def _apart(docs: DataFrame):
+    """``docs`` with its other columns renamed, and the function that gives a stage's result the columns of ``docs``."""
+    names = {c: f"carried_{k}" for k, c in enumerate(docs.columns) if c not in READ}
+    return docs.toDF(*[names.get(c, c) for c in docs.columns]), lambda out: out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
+def _stage(f):
+    """The stage with its result written: what it wrote on the way is deleted then, and nothing else is."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with passing(spark):
+            return keep(f(spark, docs, sf_dir), f"stage-{f.__name__}")
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the adaptive fences."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Rows that pass the base rules and the adaptive limits."""
+    inner, back = _apart(docs)
+    return back(quality_rules.quality_rules(inner).where("kept"))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
     return ngram_join.deduplicate(docs)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 50 bytes that an earlier document has; n_chars follows the text."""
-    return suffix_dedup.suffix_dedup(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the strings of 50 bytes that an earlier document has; n_chars, if there is one, follows the text."""
+    inner, back = _apart(docs)
+    out = back(suffix_dedup.suffix_dedup(inner))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@_stage
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    inner, back = _apart(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, items).where("n_items = 0").select(*docs.columns)
+    return back(decontaminate.decontaminate(inner, items).where("n_items = 0"))
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, sizes and checksums as tokens."""
-    found = bpe_codec.encode(docs, with_ids=False)
+    found = bpe_codec.encode(docs.select(*READ), with_ids=False)
     return found.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-_left: list[str] = []
-
-
-def _tidy(stage):
-    """The stage, after it has deleted what the stage before left in the shared folder.
-
-    A stage's result is written before the next one runs, so nothing reads those
-    tables any more; they stay if ``docs`` itself comes from them.
-    """
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = "\n".join(docs.inputFiles()) if _left else ""
-        for path in [p for p in _left if p.rpartition("/")[2] not in read]:
-            remove(spark, path)
-            _left.remove(path)
-        with collecting() as tables:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(tables)
-        return out
-
-    return run_stage
-
-
 STAGES = [
-    ("quality rules", _tidy(quality)),
-    ("n-gram Jaccard join", _tidy(near_copies)),
-    ("suffix-array dedup", _tidy(repeats)),
-    ("benchmark decontamination", _tidy(leaks)),
-    ("BPE encoding", _tidy(tokens)),
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("benchmark decontamination", leaks),
+    ("BPE encoding", tokens),
 ]
 
 #: The stages hash, sketch and tokenise in ways that SQL can't express; tests hold them against brute force.
@@ -80,8 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written and read again."""
+    """The rows of the last stage; each stage's rows are written and read again, and deleted after the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        discard(before)
+    return docs
