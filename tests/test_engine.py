@@ -210,6 +210,64 @@ def test_recall_counts_missing_queries_as_zero(spark):
     assert got == {0: (0.0, 1.0), 1: (0.0, 0.0)}
 
 
+def test_recall_of_the_queries_that_ran(spark):
+    truth = spark.createDataFrame([(q, r, 10 * q + r) for q in range(10) for r in (1, 2)], "qid bigint, rk int, vec_id bigint")
+    hits = truth.where("qid = 3")
+    ran = spark.createDataFrame([(3,), (77,)], "qid bigint")
+    assert evaluate.mean_recall(evaluate.recall(hits, truth, (1, 2), ran)).first() == (1.0, 1.0)
+    assert evaluate.mean_recall(evaluate.recall(hits, truth, (1, 2))).first() == (0.1, 0.1)
+    with pytest.raises(ValueError):
+        evaluate.recall(hits, truth, (200,))
+
+
+def test_frontier_and_percentiles_with_null_groups_and_ties(spark):
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 3 else "g", float(rng.integers(0, 40)), int(rng.integers(0, 60))) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, cost double, gain int").repartition(4)
+    for g in (None, "g"):
+        own = [r for r in rows if r[0] == g]
+        want = sorted((c, x) for _, c, x in own if not any(d < c and y >= x or d == c and y > x for _, d, y in own))
+        got = sorted((r.cost, r.gain) for r in evaluate.pareto(df, "cost", "gain", ["g"]).collect() if r.g == g)
+        assert sorted(set(got)) == sorted(set(want))
+        v = sorted(c for _, c, _ in own)
+        near = next(r for r in evaluate.latency_nearest_rank(df, "cost", ["g"]).collect() if r.g == g)
+        assert (near.n, near.p50, near.p99) == (len(v), v[int(np.ceil(0.5 * len(v))) - 1], v[int(np.ceil(0.99 * len(v))) - 1])
+    assert evaluate.latency_floor_rank(df, "cost", []).first().p50 == sorted(r[1] for r in rows)[450]
+
+
+def test_exact_search_in_tiles_and_cells(spark, monkeypatch):
+    x = np.random.default_rng(2).integers(0, 4, (150, 3)).astype(float)  # many ties
+    q, ids = x[:40], np.arange(150)
+    whole = knn.nearest(q, x, ids, 7, ids[:40])
+    df = frame(spark, x)
+    graph_rows = sorted(map(tuple, knn.knn_edges(df, 5).collect()))
+    monkeypatch.setattr(knn, "TILE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, knn.nearest(q, x, ids, 7, ids[:40])))
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(knn, "CELL_BYTES", 1000)
+    assert sorted(map(tuple, knn.knn_edges(df, 5).collect())) == graph_rows
+    with pytest.raises(ValueError):
+        knn.segment_knn(as_queries(df), df.withColumn("segment_id", F.lit(0)), 2)
+
+
+def test_exact_search_in_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from vectide.operators import knn
+rng = np.random.default_rng(0)
+q, x = rng.normal(size=(65536, 64)), rng.normal(size=(10000, 64))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+row, ids, dist = knn.nearest(q[:16384], x, np.arange(10000), 10)
+assert len(row) == 163840
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=schema.__file__.rpartition("/vectide/")[0])
+    assert float(out.stdout.split()[-1]) < 600  # MB
+
+
 def test_sweep(spark):
     rows = evaluate.sweep(lambda beam, visits: spark.createDataFrame([(beam * visits,)], "x int"), {"beam": [1, 2], "visits": [3]})
     assert [(r["beam"], r["x"]) for r in rows] == [(1, 3), (2, 6)]
@@ -262,10 +320,32 @@ def test_files_round_trip(spark, tmp_path):
 def test_segment_file(spark, tmp_path):
     head = b"VSG1" + struct.pack("<IIQIIIQ", 2, 2, 2, 1, 1, 12, 4096) + struct.pack("<2I", 2, 1)
     body = b"".join(struct.pack("<2fI", *r) for r in ((1.0, 2.0, 1), (3.0, 4.0, 0)))
-    codes = struct.pack("<3I", 2, 1, 1) + struct.pack("<2f", 0, 0) + bytes([0, 7, 3, 0])
+    codes = struct.pack("<3I", 2, 1, 1) + struct.pack("<2f", 5, 6) + bytes([0, 7, 3, 0])
     (tmp_path / "s.vsg").write_bytes(head.ljust(4096, b"\0") + body + codes)
-    got = sources.read_segment(spark, str(tmp_path / "s.vsg"), 100).orderBy("local_id").collect()
-    assert [(r.vec_id, list(r.embedding), list(r.neighbors), list(r.pq_code), r.is_entry) for r in got] == [(100, [1.0, 2.0], [1], [0, 7], False), (101, [3.0, 4.0], [0], [3, 0], True)]
+    for records in (50_000, 1):
+        got = sources.read_segment(spark, str(tmp_path / "s.vsg"), 100, records).orderBy("local_id").collect()
+        assert [(r.vec_id, list(r.embedding), list(r.neighbors), list(r.pq_code), r.is_entry) for r in got] == [(100, [1.0, 2.0], [1], [0, 7], False), (101, [3.0, 4.0], [0], [3, 0], True)]
+    assert sorted((r.m, r.k, *r.centroid) for r in sources.segment_codebook(spark, str(tmp_path / "s.vsg")).collect()) == [(0, 0, 5.0), (1, 0, 6.0)]
+    (tmp_path / "k.vsg").write_bytes((head[:-4] + struct.pack("<I", 9)).ljust(4096, b"\0") + body + codes)
+    with pytest.raises(Exception, match="centroids"):
+        sources.read_segment(spark, str(tmp_path / "k.vsg")).count()
+    (tmp_path / "n.vsg").write_bytes(b"none")
+    with pytest.raises(Exception, match="no segment"):
+        sources.read_segment(spark, str(tmp_path / "n.vsg")).count()
+
+
+def test_segments_round_trip(spark, tmp_path):
+    df = frame(spark, blobs(n=2, each=15, d=4))
+    book = pq.first_rows_codebook(df, 2, 3)
+    for own in (book, None):
+        nodes = search.build_nodes(store.assign_segments(df, 10), graph.BuildConfig(degree=4), own).persist()
+        files = sources.write_segments(nodes, f"file://{tmp_path}/{own is None}", own)
+        assert sorted((r.segment_id, r.id_offset, r["count"]) for r in files.collect()) == [(0, 0, 10), (1, 10, 10), (2, 20, 10)]
+        for r in files.collect():
+            got = sources.read_segment(spark, r.path, r.id_offset, 4).orderBy("local_id").collect()
+            assert got == nodes.where(F.col("segment_id") == r.segment_id).drop("segment_id").orderBy("local_id").collect()
+            found = sources.segment_codebook(spark, r.path)
+            assert found is None if own is None else sorted(found.collect()) == sorted(book.collect())
 
 
 def test_manifest_file(spark, tmp_path):
@@ -319,6 +399,46 @@ def test_store_life(spark, tmp_path):
         s.build(frame(spark, x), config)
 
 
+@pytest.mark.parametrize("n", [60, 250])
+def test_compaction_of_runs_of_many_segments_ends(spark, tmp_path, monkeypatch, n):
+    monkeypatch.setattr(store, "SEGMENT_SIZE", 10)
+    x = np.random.default_rng(8).normal(size=(n, 2))
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.insert(frame(spark, x), config=graph.BuildConfig(degree=2, builder="brute"))
+    assert {a.level for a in s.segments()} == {1} and len({a.run_id for a in s.segments()}) == 1
+    assert sum(a.count for a in s.segments()) == n and max(a.count for a in s.segments()) == 10
+    assert sorted(r.vec_id for r in s.vectors().collect()) == list(range(n))
+    assert {r.level: r.n for r in store.level_counts(s.manifest()).collect()} == {1: 1}
+    r = s.node(s.segments()[1].segment_id, 3).first()
+    assert (r.local_id, r.vec_id) == (3, 13) and s.node(s.segments()[0].segment_id, 99).count() == 0
+    with pytest.raises(ValueError):
+        s.node(10**6, 0)
+
+
+def test_rows_without_an_id_are_kept_last(spark, tmp_path):
+    df = spark.createDataFrame([(5, [1.0]), (None, [2.0]), (10**15, [3.0]), (-4, [4.0]), (None, [5.0])], "vec_id bigint, embedding array<float>")
+    got = sorted((r.batch, r.vec_id is None) for r in store.ingest_batches(df, 2).collect())
+    assert got == [(0, False), (0, False), (1, False), (1, True), (2, True)]
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.insert(df, config=graph.BuildConfig(degree=1))
+    rows = {r.vec_id: r.embedding[0] for r in s.vectors().collect()}
+    assert [rows[i] for i in range(3)] == [4.0, 1.0, 3.0] and sorted(rows) == list(range(5))
+
+
+def test_nodes_of_arrays_marked_not_null(spark):
+    df = spark.range(6).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit(0).alias("segment_id"))
+    assert search.build_nodes(df, graph.BuildConfig(degree=2)).count() == 6
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    a = store.Store(spark, f"file://{tmp_path}/s")
+    a.commit([], 0)
+    b = store.Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(RuntimeError):
+        b.commit([], 0)
+    assert a.commit([], 1, batch=7) == 2 and b.last_batch() == 7 and b.commit([], 2) == 3 and a.last_batch() == 7
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     x = np.random.default_rng(6).normal(size=(30, 4))
     for i in range(3):
@@ -329,7 +449,7 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     q.awaitTermination()
     assert len(writer.log) == 3 and s.vectors().count() == 30
     writer(frame(spark, x[:10]), 1)  # a batch that is run again
-    assert s.vectors().count() == 30
+    assert s.vectors().count() == 30 and s.last_batch() == 2
 
 
 def test_rates_on_a_stream(spark, tmp_path):
@@ -352,11 +472,24 @@ def test_commands(spark, tmp_path):
     assert cli.run(spark, ["train-pq", "--input", at["base.fvecs"], "--output", at["book.pcb"], "--pq-m", "4", "--pq-k", "8", "--pq-iters", "2"]).count() == 32
     assert cli.run(spark, ["build", "--input", at["base.fvecs"], "--output", home, "--degree", "79", "--codebook", at["book.pcb"]]).count() == 1
     assert cli.run(spark, ["query", "--manifest", home, "--input", at["query.fvecs"], "--topk", "3"]).count() == 24
-    report = cli.run(spark, ["eval", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--ks", "1,10", "--beam", "0"]).first()
+    report = cli.run(spark, ["eval", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--ks", "1,10", "--beam", "0", "--threads", "2"]).first()
+    assert (report.num_threads, report.beam, report.total_prefetch_hits, report.cache_mb) == (2, 0, 0, 0)
     assert report.recall_1 == report.recall_10 == 1.0 and report.num_queries == 8 and report.qps > 0
     assert cli.run(spark, ["insert", "--manifest", home, "--input", at["more.fvecs"], "--degree", "4", "--codebook", at["book.pcb"], "--flush", "10"]).count() == 3
-    rows = cli.run(spark, ["stress", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--write-input", at["more.fvecs"], "--codebook", at["book.pcb"], "--duration", "1", "--write-batch-size", "15"])
-    assert rows.count() >= 1 and set(rows.columns) >= {"read_qps", "recall10", "version"}
+    stress = ["stress", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--write-input", at["more.fvecs"], "--codebook", at["book.pcb"], "--duration", "3", "--read-threads", "2", "--write-threads", "2", "--read-batch-size", "3", "--write-batch-size", "8"]
+    rows = cli.run(spark, stress).collect()
+    assert [r.kind for r in rows].count("summary") == 1 and rows[-1].reads > 0 and rows[-1].read_qps > 0 and rows[-1].recall10 is not None
+    assert 0 < rows[-1].write_ops <= 15 and all(a.write_ops <= b.write_ops for a, b in zip(rows, rows[1:]))
+    evals = ["--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--ks", "1,10", "--limit", "3"]
+    csv = str(tmp_path / "out.csv")
+    assert cli.run(spark, ["thread-sweep", *evals, "--thread-counts", "1,2", "--output", csv]).count() == 2
+    assert cli.run(spark, ["ablation", *evals, "--caches", "0,1", "--thread-counts", "1", "--prefetches", "off", "--output", csv]).count() == 2
+    sweep = cli.run(spark, ["sweep", *evals, "--beams", "0", "--visits", "5,500", "--threads", "1", "--output", csv])
+    assert [(r.beam, r.max_visits, r.num_queries) for r in sweep.collect()] == [(0, 5, 3), (0, 500, 3)]
+    with open(csv) as f:
+        assert f.readline().startswith("recall_1,recall_10,lat_avg_ms") and len(f.readlines()) == 2
+    bench = cli.run(spark, ["write-bench", "--input", at["more.fvecs"], "--store", f"file://{tmp_path}/wb", "--flush-sizes", "0,2", "--degree", "2", "--output", csv]).collect()
+    assert [(r.flush, r.vectors, r.segments, r.compactions) for r in bench] == [(0, 15, 1, 0), (2, 15, 1, 1)]
     with pytest.raises(SystemExit):
         cli.options(["query", "--nonsense", "1"])
 

@@ -1,4 +1,9 @@
-"""Commands on a store: train-pq, build, query, eval, insert, stress.
+"""Commands on a store: train-pq, build, query, eval, insert, stress; and experiments: sweep, ablation, cache-sweep,
+thread-sweep, write-bench.
+
+``threads`` runs that many blocks of queries at once, each a job of its own. ``cache`` above 0 keeps the nodes in
+Spark's storage (its size is Spark's setting); ``prefetch`` is only reported: Parquet is read ahead by the reader.
+Experiments write their rows as CSV to ``output``.
 
 Options come from the command line, then ``--config`` (a flat JSON object), then
 ``--dataset profile`` of ``--catalog``, then the defaults below.
@@ -7,27 +12,38 @@ Options come from the command line, then ``--config`` (a flat JSON object), then
 from __future__ import annotations
 
 import argparse
+import functools
+import random
 import threading
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
-from .operators import evaluate, graph, knn, pq
+from .operators import evaluate, graph, knn, pq, search
 from .operators.store import Store
 from .session import ship
 
+_BUILD = {"degree": 32, "builder": "auto", "build-beam": 64, "alpha": 1.2, "max-build-visits": 5000}
+_EVAL = {"ks": "1,10,100", "beam": 8, "max-visits": 1000, "limit": 0, "threads": 1, "cache": 0, "prefetch": "off"}
 #: (defaults, role of the data set that is the input) of each command.
 COMMANDS: dict[str, tuple[dict, str]] = {
     "train-pq": ({"pq-m": 64, "pq-k": 256, "pq-iters": 25, "limit": 100_000}, "learn"),
-    "build": ({"output": "data", "degree": 32, "builder": "auto", "limit": 0, "build-beam": 64, "alpha": 1.2, "max-build-visits": 5000}, "base"),
-    "query": ({"topk": 10, "beam": 8, "max-visits": 1000, "limit": 0}, "query"),
-    "eval": ({"ks": "1,10,100", "beam": 8, "max-visits": 1000, "limit": 0, "format": "table"}, "query"),
-    "insert": ({"output": "data", "flush": 0, "degree": 32, "builder": "auto", "limit": 0, "build-beam": 64, "alpha": 1.2, "max-build-visits": 5000}, "base"),
-    "stress": ({"output": "data", "duration": 30, "write-batch-size": 100, "write-limit": 0, "beam": 8, "max-visits": 1000, "degree": 32, "builder": "auto", "build-beam": 64, "alpha": 1.2, "max-build-visits": 5000}, "query"),
+    "build": ({"output": "data", "limit": 0} | _BUILD, "base"),
+    "query": ({"topk": 10, "beam": 8, "max-visits": 1000, "limit": 0, "threads": 1, "cache": 0, "prefetch": "off"}, "query"),
+    "eval": (_EVAL | {"format": "table"}, "query"),
+    "insert": ({"output": "data", "flush": 0, "limit": 0} | _BUILD, "base"),
+    "stress": ({"output": "data", "duration": 30, "read-threads": 4, "write-threads": 1, "read-batch-size": 16, "write-batch-size": 100, "write-limit": 0, "beam": 8, "max-visits": 1000} | _BUILD, "query"),
+    "sweep": (_EVAL | {"beams": "4,8,16,32", "visits": "500,1000,2000", "limit": 1000, "threads": 4, "output": "sweep.csv"}, "query"),
+    "ablation": (_EVAL | {"caches": "0,200", "thread-counts": "1,4", "prefetches": "off,on", "limit": 1000, "output": "ablation.csv"}, "query"),
+    "cache-sweep": (_EVAL | {"caches": "0,2,20,80,200", "limit": 1000, "threads": 4, "output": "cache_sweep.csv"}, "query"),
+    "thread-sweep": (_EVAL | {"thread-counts": "1,2,4,8,16", "limit": 1000, "output": "thread_sweep.csv"}, "query"),
+    "write-bench": ({"flush-sizes": "0,1000,5000", "write-limit": 10_000, "output": "write_bench.csv"} | _BUILD, "base"),
 }
-KNOWN = ("input", "output", "codebook", "manifest", "groundtruth", "write-input", "config", "dataset", "catalog")
+KNOWN = ("input", "output", "codebook", "manifest", "groundtruth", "write-input", "config", "dataset", "catalog", "store")
 
 
 def options(argv: list[str]) -> tuple[str, dict]:
@@ -81,6 +97,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         book = pq.train(sources.load_vectors(spark, o["input"], o["limit"]), o["pq-m"], o["pq-k"], o["pq-iters"])
         book.write.mode("overwrite").parquet(o["output"]) if o["output"].endswith(".parquet") else sources.write_codebook(book, o["output"])
         return book
+    if command == "write-bench":
+        return write_bench(spark, o)
     store = Store(spark, o.get("manifest") or o["output"])
     if command == "build":
         store.build(sources.load_vectors(spark, o["input"], o["limit"]), _build_config(o), _codebook(spark, o))
@@ -89,43 +107,151 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         store.insert(sources.load_vectors(spark, o["input"], o["limit"]), o["flush"], _build_config(o), _codebook(spark, o))
         return store.manifest()
     if command == "query":
-        hits, _ = store.search(_queries(spark, o), graph.SearchConfig(o["topk"], o["beam"], o["max-visits"]), _codebook(spark, o))
+        hits, _ = search_blocks(spark, store, _queries(spark, o), o, o["topk"])
         return hits
+    if command == "stress":
+        return stress(spark, store, o)
     if command == "eval":
-        ks = tuple(int(k) for k in str(o["ks"]).split(","))
-        began = time.perf_counter()
-        hits, stats = store.search(_queries(spark, o), graph.SearchConfig(max(ks), o["beam"], o["max-visits"]), _codebook(spark, o))
-        stats, hits = stats.persist(), hits.persist()
-        stats.count()
-        return evaluate.report(hits, stats, _truth(spark, o["groundtruth"]), time.perf_counter() - began, ks)
-    return stress(spark, store, o)
+        return evaluated(spark, store, o)
+    return experiment(spark, store, command, o)
+
+
+def search_blocks(spark: SparkSession, store: Store, q: DataFrame, o: dict, k: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, stats) of the queries in ``threads`` blocks that run at once, kept in Spark's storage."""
+    config, book = graph.SearchConfig(k, o["beam"], o["max-visits"]), _codebook(spark, o)
+    nodes = store.nodes().persist() if o["cache"] else store.nodes()
+
+    def one(b: int) -> tuple[DataFrame, DataFrame]:
+        part = q if o["threads"] <= 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(o["threads"])) == b)
+        found = tuple(x.persist() for x in search.ann_search(nodes, part, config, book))
+        for x in found:
+            x.count()
+        return found
+
+    with ThreadPoolExecutor(max(1, o["threads"])) as pool:
+        blocks = list(pool.map(one, range(max(1, o["threads"]))))
+    if o["cache"]:
+        nodes.unpersist()
+    return tuple(functools.reduce(DataFrame.unionByName, x) for x in zip(*blocks))
+
+
+def evaluated(spark: SparkSession, store: Store, o: dict) -> DataFrame:
+    """One row: quality, latencies and counters of the queries, and the settings of the run."""
+    ks = tuple(int(k) for k in str(o["ks"]).split(","))
+    began = time.perf_counter()
+    hits, stats = search_blocks(spark, store, _queries(spark, o), o, max(ks))
+    settings = {"num_threads": o["threads"], "beam": o["beam"], "max_visits": o["max-visits"], "prefetch": int(o["prefetch"] == "on"), "cache_mb": o["cache"]}
+    return evaluate.report(hits, stats, _truth(spark, o["groundtruth"]), time.perf_counter() - began, ks, settings)
+
+
+_REPORT = ["recall_1", "recall_10", "recall_100", "lat_avg_ms", "lat_p50_ms", "lat_p95_ms", "lat_p99_ms", "qps", "avg_visited", "avg_exact_reads", "avg_pq_dist", "avg_prefetch_hits"]
+
+
+def experiment(spark: SparkSession, store: Store, command: str, o: dict) -> DataFrame:
+    """``eval`` at every point of the command's grid, written as CSV and returned."""
+    ints = lambda name: [int(x) for x in str(o[name]).split(",")]
+    grids = {
+        "sweep": lambda: {"beam": ints("beams"), "max-visits": ints("visits")},
+        "ablation": lambda: {"cache": ints("caches"), "threads": ints("thread-counts"), "prefetch": o["prefetches"].split(",")},
+        "cache-sweep": lambda: {"cache": ints("caches")},
+        "thread-sweep": lambda: {"threads": ints("thread-counts")},
+    }
+    rows = evaluate.sweep(lambda **point: evaluated(spark, store, o | point), grids[command]())
+    for r in rows:
+        r["config"] = f"cache{r['cache_mb']}_t{r['num_threads']}" + ("_pf" if r["prefetch"] in (1, "on") else "")
+    keys = ["beam", "max_visits", "num_threads", "prefetch", "cache_mb", "num_queries", "seconds", "config"]
+    fields = [c for c in _REPORT + keys if c in rows[0]]
+    evaluate.write_csv(rows, o["output"], fields)
+    return spark.createDataFrame([tuple(r[c] for c in fields) for r in rows], fields)
+
+
+def write_bench(spark: SparkSession, o: dict) -> DataFrame:
+    """Insert the input into a new store for each flush size: segments, merges, seconds and vectors a second, also as CSV."""
+    x = sources.load_vectors(spark, o["input"], o["write-limit"]).persist()
+    rows = []
+    for flush in (int(f) for f in str(o["flush-sizes"]).split(",")):
+        store, began = Store(spark, f"{o['store'].rstrip('/')}/flush-{flush or 'all'}-{uuid.uuid4().hex}"), time.perf_counter()
+        version = store.insert(x, flush, _build_config(o))
+        seconds, n = time.perf_counter() - began, x.count()
+        rows.append({"flush": flush, "vectors": n, "segments": len(store.segments()), "compactions": version - 1, "time_s": seconds, "throughput_vec_s": n / seconds})
+    x.unpersist()
+    evaluate.write_csv(rows, o["output"], list(rows[0]))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "flush long, vectors long, segments long, compactions long, time_s double, throughput_vec_s double")
 
 
 def stress(spark: SparkSession, store: Store, o: dict) -> DataFrame:
-    """Reads on the newest snapshot while batches are inserted: one row for each read."""
-    q, truth = _queries(spark, o), _truth(spark, o["groundtruth"]) if o.get("groundtruth") else None
+    """Readers search random queries in the newest snapshot while writers insert batches.
+
+    One row a second (kind "interval": reads a second since the last one, percentiles and recall of all reads so far),
+    then one of kind "summary".
+    """
+    q, truth = _queries(spark, o).persist(), _truth(spark, o["groundtruth"]) if o.get("groundtruth") else None
     config, book = graph.SearchConfig(10, o["beam"], o["max-visits"]), _codebook(spark, o)
     new = sources.load_vectors(spark, o["write-input"], o["write-limit"])
-    total, size = new.count(), o["write-batch-size"]
-    until, rows, written = time.time() + o["duration"], [], [0]
+    total, size, n_q = new.count(), o["write-batch-size"], q.count()
+    lock, publish = threading.Lock(), threading.Lock()
+    done, failed, began = threading.Event(), [], time.time()
+    latencies, recalls, counts = [], [], {"next": 0, "writes": 0, "visited": 0, "exact_reads": 0}
 
     def write() -> None:
-        while written[0] < total and time.time() < until:
-            part = new.where((F.col("vec_id") >= written[0]) & (F.col("vec_id") < written[0] + size))
-            store.insert(part, config=_build_config(o), codebook=book)
-            written[0] += size
-
-    writer = threading.Thread(target=write)
-    writer.start()
-    began = time.time()
-    while time.time() < until or not rows:
-        at = time.time()
-        hits, stats = store.search(q, config, book)
-        lat = evaluate.latency_nearest_rank(stats.groupBy("qid").agg(F.sum("latency_ms").alias("ms")), "ms", []).first()
-        found = evaluate.mean_recall(evaluate.recall(hits, truth, (10,))).first()[0] if truth is not None else None
-        rows.append((time.time() - began, lat.n / (time.time() - at), lat.p50, lat.p95, lat.p99, min(written[0], total), found, store.version()))
-    writer.join()
-    return spark.createDataFrame(rows, "time double, read_qps double, p50_ms double, p95_ms double, p99_ms double, write_ops long, recall10 double, version long")
+        while not done.is_set():
+            with lock:
+                first, counts["next"] = counts["next"], counts["next"] + size
+            if first >= total:
+                return
+            part = new.where((F.col("vec_id") >= first) & (F.col("vec_id") < first + size))
+            with publish:  # one writer publishes at a time
+                store.insert(part, config=_build_config(o), codebook=book)
+            with lock:
+                counts["writes"] += min(size, total - first)
+
+    def read(seed: int) -> None:
+        rng = random.Random(seed)
+        while not done.is_set() or not latencies:
+            at, wide = rng.randrange(n_q), max(1, o["read-batch-size"])
+            some = q.where(F.pmod(F.col("qid") - at, F.lit(n_q)) < wide)
+            hits, stats = store.search(some, config, book)
+            stats = stats.groupBy("qid").agg(F.sum("latency_ms").alias("ms"), F.sum("visited").alias("v"), F.sum("exact_reads").alias("e")).collect()  # a batch of queries
+            found = [r[0] for r in evaluate.recall(hits, truth, (10,), some).select("recall_10").collect()] if truth is not None else []
+            with lock:
+                latencies.extend(r.ms for r in stats)
+                recalls.extend(found)
+                counts["visited"] += sum(r.v for r in stats)
+                counts["exact_reads"] += sum(r.e for r in stats)
+
+    def guarded(f, *args) -> None:
+        try:
+            f(*args)
+        except Exception as e:  # shown by the main thread
+            failed.append(e)
+            done.set()
+
+    threads = [threading.Thread(target=guarded, args=(write,)) for _ in range(o["write-threads"])]
+    threads += [threading.Thread(target=guarded, args=(read, seed)) for seed in range(max(1, o["read-threads"]))]
+    for t in threads:
+        t.start()
+    rows, seen, last = [], 0, began
+
+    def sample(kind: str, since: float, reads: int) -> tuple:
+        with lock:
+            lat, rec, writes = sorted(latencies), list(recalls), counts["writes"]
+            per = max(1, len(lat))
+            totals = (counts["visited"] / per, counts["exact_reads"] / per)
+        rank = lambda p: lat[min(int(p * len(lat)), len(lat) - 1)] if lat else 0.0
+        now = time.time()
+        return kind, now - began, (len(lat) - reads) / max(now - since, 1e-9), rank(0.5), rank(0.95), rank(0.99), writes, sum(rec) / len(rec) if rec else None, len(lat), sum(lat) / per, *totals
+
+    while time.time() < began + o["duration"] and not done.wait(1):
+        rows.append(sample("interval", last, seen))
+        seen, last = rows[-1][8], time.time()
+    done.set()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    q.unpersist()
+    rows.append(sample("summary", began, 0))
+    return spark.createDataFrame(rows, "kind string, time double, read_qps double, p50_ms double, p95_ms double, p99_ms double, write_ops long, recall10 double, reads long, avg_ms double, avg_visited double, avg_exact_reads double")
 
 
 def exact_truth(spark: SparkSession, base: str, queries: str, k: int = 100) -> DataFrame:

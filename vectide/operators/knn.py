@@ -1,8 +1,11 @@
 """Exact nearest neighbours, k-NN graphs and graph measures.
 
-The query side goes to the workers in blocks of a checked size; each task scans
-its part of the base once a block, keeps k candidates a query, and only those
-are shuffled. Nothing of the size of queries x base is ever a row.
+Few queries, up to ``BLOCK_BYTES``, are sent to all workers; each task scans its
+part of the base and keeps k candidates a query. More of them are dealt, like the
+base, into cells of at most about ``CELL_BYTES``; each pair of a query cell and a
+base cell is a task of its own, and neither side passes through the driver. Only
+candidates are shuffled on. Nothing of the size of queries x base is ever a row,
+and a task's matrices have at most ``TILE`` numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from ..functions import l2_squared
 
 #: Bytes of query vectors that are sent to every worker at once.
 BLOCK_BYTES = 32 << 20
+#: Bytes of a cell's vectors, and numbers of a matrix that a task works on.
+CELL_BYTES, TILE = 16 << 20, 4 << 20
 #: Vectors of the largest segment whose graph one task builds.
 SEGMENT_LIMIT = 50_000
 _HITS = "qid bigint, vec_id bigint, dist double"
@@ -39,27 +44,52 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def best(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
+    """The k least of each row by (distance, id), in order."""
+    order = np.lexsort((ids, dist, row))
+    row, ids, dist = row[order], ids[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], dist[keep]
+
+
 def nearest(q: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, skip: np.ndarray | None = None):
     """(row of q, id, distance) of the k nearest by (distance, id); ``skip``: an id that each row leaves out.
 
-    A product of matrices finds who may be among the k; their distances are then
-    worked out by differences.
+    Works in tiles of at most ``TILE`` distances, and keeps k a row between them.
     """
-    rough = (q**2).sum(1)[:, None] + (base**2).sum(1)[None, :] - 2 * q @ base.T
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    wide = max(1, min(len(base), 4096))
+    high = max(1, TILE // max(wide, q.shape[1] if q.ndim > 1 else 1))
+    for i in range(0, len(q), high):
+        held = out[0]
+        for j in range(0, len(base), wide):
+            row, vec, dist = _tile(q[i : i + high], base[j : j + wide], ids[j : j + wide], k, None if skip is None else skip[i : i + high])
+            held = best(*(np.concatenate(x) for x in zip(held, (row, vec, dist))), k) if len(held[0]) else (row, vec, dist)
+        out.append((held[0] + i, *held[1:]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _tile(q: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, skip: np.ndarray | None):
+    """A product of matrices finds who may be among the k; their distances are then worked out by differences."""
+    rough = q @ base.T
+    rough *= -2
+    rough += (q**2).sum(1)[:, None]
+    rough += (base**2).sum(1)[None, :]
     if skip is not None:
-        rough = np.where(ids[None, :] == skip[:, None], np.inf, rough)
+        rough[ids[None, :] == skip[:, None]] = np.inf
     n = min(k, rough.shape[1])
     if not n or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     limit = np.partition(rough, n - 1, axis=1)[:, n - 1]
     scale = 1e-9 * (1 + (q**2).sum(1) + (base**2).sum(1).max())
     row, col = np.nonzero((rough <= (limit + scale)[:, None]) & np.isfinite(rough))
-    dist = ((q[row] - base[col]) ** 2).sum(1)
-    order = np.lexsort((ids[col], dist, row))
-    row, col, dist = row[order], col[order], dist[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = rank < k
-    return row[keep], ids[col[keep]], dist[keep]
+    del rough
+    dist = np.empty(len(row))
+    step = max(1, TILE // q.shape[1])
+    for at in range(0, len(row), step):
+        r, c = row[at : at + step], col[at : at + step]
+        dist[at : at + step] = ((q[r] - base[c]) ** 2).sum(1)
+    return best(row, ids[col], dist, k)
 
 
 def query_blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,39 +110,79 @@ def top_k(hits: DataFrame, k: int, by: list[str] | str = "qid") -> DataFrame:
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def _arrow_hits(found, ids: np.ndarray) -> list[pa.Array]:
+    return [pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])]
+
+
+def _vector_bytes(vectors: DataFrame, vector: str) -> int:
+    r = vectors.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    return int(r.n) * int(r.d or 0) * 8
+
+
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", vec_id: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """qid, rk, vec_id, dist of the k nearest base vectors of each query, by (dist, vec_id)."""
-    if k < 1:
-        return base.sparkSession.createDataFrame([], "qid bigint, rk int, vec_id bigint, dist double")
-    out = None
-    for ids, q in query_blocks(queries, qid, vector):
-        sent = base.sparkSession.sparkContext.broadcast((ids, q))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = nearest(q, matrix(batch.column(1)), batch.column(0).to_numpy(), k, ids if exclude_self else None)
-                row, vec, dist = (np.concatenate(x) for x in zip(held, found))
-                order = np.lexsort((vec, dist, row))
-                row, vec, dist = row[order], vec[order], dist[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                held = row[keep], vec[keep], dist[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["qid", "vec_id", "dist"])
-
-        hits = base.select(F.col(vec_id).cast("bigint").alias("vec_id"), vector).mapInArrow(scan, _HITS)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "qid bigint, rk int, vec_id bigint, dist double")
-    return top_k(out, k).select("qid", "rk", "vec_id", "dist")
+    empty = base.sparkSession.createDataFrame([], "qid bigint, rk int, vec_id bigint, dist double")
+    size = _vector_bytes(queries, vector) if k >= 1 else 0
+    if not size:
+        return empty
+    own = base.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("embedding"))
+    asked = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(vector).alias("embedding"))
+    hits = _in_cells(asked, own, size, k, exclude_self) if size > BLOCK_BYTES else _by_block(asked, own, k, exclude_self)
+    return top_k(hits, k).select("qid", "rk", "vec_id", "dist")
+
+
+def _by_block(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, by: str | None = None) -> DataFrame:
+    """Candidates of all queries, which are at most ``BLOCK_BYTES``; with ``by``, for each value of that column of the base."""
+    t = queries.orderBy("qid").toArrow()
+    sent = base.sparkSession.sparkContext.broadcast((t.column("qid").to_numpy(), matrix(t.column("embedding"))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        held: dict = {}
+        for batch in batches:
+            x, vec = matrix(batch.column(1)) if batch.num_rows else None, batch.column(0).to_numpy()
+            group = batch.column(2).to_numpy() if by else np.zeros(len(vec), np.int64)
+            for g in np.unique(group):
+                here = group == g
+                found = nearest(q, x[here], vec[here], k, ids if exclude_self else None)
+                held[g] = best(*(np.concatenate(c) for c in zip(held[g], found)), k) if g in held else found
+        for g, found in held.items():
+            extra = [pa.array(np.full(len(found[0]), g))] if by else []
+            yield pa.RecordBatch.from_arrays(_arrow_hits(found, ids) + extra, names=["qid", "vec_id", "dist", *([by] if by else [])])
+
+    return base.mapInArrow(scan, _HITS + (f", {by} bigint" if by else ""))
+
+
+def _in_cells(queries: DataFrame, base: DataFrame, size: int, k: int, exclude_self: bool) -> DataFrame:
+    """Candidates of all queries: one task for each pair of a cell of queries and a cell of the base."""
+    rows, columns = 1 + size // CELL_BYTES, 1 + _vector_bytes(base, "embedding") // CELL_BYTES
+    left = queries.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def compare(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not q.num_rows or not x.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["qid", "vec_id", "dist"])
+        ids = q.column("qid").to_numpy()
+        found = nearest(matrix(q.column("embedding")), matrix(x.column("embedding")), x.column("vec_id").to_numpy(), k, ids if exclude_self else None)
+        return pa.table(_arrow_hits(found, ids), names=["qid", "vec_id", "dist"])
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(compare, _HITS)
+
+
+def segment_knn(queries: DataFrame, base: DataFrame, k: int, segment: str = "segment_id") -> DataFrame:
+    """qid, segment, rk, vec_id, dist: the k nearest of every segment, for at most ``BLOCK_BYTES`` of queries."""
+    if _vector_bytes(queries, "embedding") > BLOCK_BYTES:
+        raise ValueError("too many queries to send to every worker; search in blocks of them")
+    hits = _by_block(queries.select("qid", "embedding"), base.select(F.col("vec_id").cast("bigint"), "embedding", F.col(segment).cast("bigint")), k, False, segment)
+    return top_k(hits, k, ["qid", segment])
 
 
 def exact_knn_sql(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """The same in higher-order functions only, for few queries that Spark may broadcast."""
+    """The same in higher-order functions only, for at most ``BLOCK_BYTES`` of queries; more go the way of ``exact_knn``."""
+    if _vector_bytes(queries, "embedding") > BLOCK_BYTES:
+        return exact_knn(queries, base, k)
     q = queries.select("qid", F.col("embedding").alias("query"))
-    pairs = base.select("vec_id", "embedding").join(q, F.lit(True))
+    pairs = base.select("vec_id", "embedding").join(F.broadcast(q), F.lit(True))
     return top_k(pairs.select("qid", "vec_id", l2_squared(F.col("query"), F.col("embedding")).alias("dist")), k).select("qid", "rk", "vec_id", "dist")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import l2_squared, subvector, subvectors
+from ..functions import l2_squared, subvector
 from ..schema import check_pq, dimension
 from . import knn
 
@@ -69,10 +69,16 @@ def encode(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     """vec_id, decoded: the chosen centroids, one after the other."""
-    parts = codes.select("vec_id", F.posexplode("pq_code").alias("m", "k"))
-    joined = parts.join(F.broadcast(codebook), ["m", "k"])
-    lists = joined.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("m", "centroid"))).alias("c"))
-    return lists.select("vec_id", F.flatten(F.transform("c", lambda x: x["centroid"])).alias("decoded"))
+    book = codes.sparkSession.sparkContext.broadcast(codebook_array(codebook))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code = knn.matrix(batch.column(1)).astype(np.int64)
+                x = np.concatenate([book.value[m][code[:, m]] for m in range(code.shape[1])], axis=1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["vec_id", "decoded"])
+
+    return codes.select(F.col("vec_id").cast("bigint"), "pq_code").mapInArrow(run, "vec_id bigint, decoded array<float>")
 
 
 def error(vectors: DataFrame, codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -87,29 +93,25 @@ def adc_tables(queries: DataFrame, codebook: DataFrame, d_sub: int) -> DataFrame
     return joined.select("qid", "m", "k", l2_squared(subvector(F.col("embedding"), F.col("m"), d_sub), F.col("centroid")).alias("dist"))
 
 
-def adc_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int) -> DataFrame:
-    """qid, rk, vec_id, dist: the k nearest codes by asymmetric distance; the codes are scanned, vectors never."""
+def adc_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, places: int | None = None) -> DataFrame:
+    """qid, rk, vec_id, dist: the k nearest codes by asymmetric distance; the codes are scanned, vectors never.
+
+    Queries go to the workers in blocks; a task makes the tables of a few queries at a time. With ``places``, distances
+    are rounded before they are compared, so that equal codes tie.
+    """
     book = codebook_array(codebook)
-    d = book.shape[2]
     out = None
     for ids, q in knn.query_blocks(queries, "qid", "embedding"):
-        table = np.stack([sub_distances(q[:, m * d : (m + 1) * d], book[m]) for m in range(len(book))], axis=1)
-        sent = codes.sparkSession.sparkContext.broadcast((ids, table))
+        sent = codes.sparkSession.sparkContext.broadcast((ids, q, book))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, table = sent.value
+            ids, q, book = sent.value
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec = batch.column(0).to_numpy()
-                code = knn.matrix(batch.column(1)).astype(np.int64)
-                dist = np.zeros((len(ids), len(vec)))
-                for m in range(table.shape[1]):
-                    dist += table[:, m, :][:, code[:, m]]
-                order = np.lexsort((np.broadcast_to(vec, dist.shape), dist), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                at = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec[at]), pa.array(dist[row, at])], names=["qid", "vec_id", "dist"])
+                if batch.num_rows:
+                    found = _nearest_codes(q, batch.column(0).to_numpy(), knn.matrix(batch.column(1)).astype(np.int64), book, k, places)
+                    held = knn.best(*(np.concatenate(x) for x in zip(held, found)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["qid", "vec_id", "dist"])
 
         hits = codes.select(F.col("vec_id").cast("bigint"), "pq_code").mapInArrow(scan, "qid bigint, vec_id bigint, dist double")
         out = hits if out is None else out.unionByName(hits)
@@ -118,6 +120,25 @@ def adc_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int
     return knn.top_k(out, k).select("qid", "rk", "vec_id", "dist")
 
 
+def _nearest_codes(q: np.ndarray, vec: np.ndarray, code: np.ndarray, book: np.ndarray, k: int, places: int | None):
+    """(row of q, id, distance) of the k nearest codes; tables and distances have at most ``TILE`` numbers."""
+    parts, _, d = book.shape
+    high = max(1, knn.TILE // max(len(vec), book.shape[0] * book.shape[1]))
+    out = []
+    for i in range(0, len(q), high):
+        own = q[i : i + high]
+        dist = np.zeros((len(own), len(vec)))
+        for m in range(parts):
+            dist += sub_distances(own[:, m * d : (m + 1) * d], book[m])[:, code[:, m]]
+        if places is not None:
+            dist = np.round(dist, places)
+        n = min(k, len(vec))
+        row, col = np.nonzero(dist <= np.partition(dist, n - 1, axis=1)[:, n - 1 : n])
+        row, ids, own = knn.best(row, vec[col], dist[row, col], k)
+        out.append((row + i, ids, own))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """qid, rk, vec_id, dist: the candidates ordered by exact distance; only their vectors are joined."""
     joined = candidates.select("qid", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id")
@@ -128,18 +149,36 @@ def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int
 
 def assign(vectors: DataFrame, codebook: DataFrame, parts: int, d_sub: int) -> DataFrame:
     """vec_id, m, k, dist: nearest centroid of every subvector, ties to the lowest k."""
-    subs = vectors.select("vec_id", F.posexplode(subvectors(F.col("embedding"), parts, d_sub)).alias("m", "sub"))
-    pairs = subs.join(F.broadcast(codebook), "m").select("vec_id", "m", "k", l2_squared(F.col("sub"), F.col("centroid")).alias("dist"))
-    best = pairs.groupBy("vec_id", "m").agg(F.min(F.struct("dist", "k")).alias("b"))
-    return best.select("vec_id", "m", F.col("b.k").alias("k"), F.col("b.dist").alias("dist"))
+    book = vectors.sparkSession.sparkContext.broadcast(codebook_array(codebook))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).to_numpy(), knn.matrix(batch.column(1))
+            for m in range(parts):
+                dist = sub_distances(x[:, m * d_sub : (m + 1) * d_sub], book.value[m])
+                k = dist.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(k), m, np.int32)), pa.array(k.astype(np.int32)), pa.array(dist[np.arange(len(k)), k])], names=["vec_id", "m", "k", "dist"])
+
+    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, m int, k int, dist double")
+
+
+def partial_sums(vectors: DataFrame, book: np.ndarray) -> DataFrame:
+    """m, k, n, sums, far, far_id, point of each task's part of a cluster; what meets is bounded by the codebook's size."""
+    sent = vectors.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _partial(batches, sent.value)
+
+    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "m int, k int, n bigint, sums array<double>, far double, far_id bigint, point array<double>")
 
 
 def lloyd_step(vectors: DataFrame, codebook: DataFrame, parts: int, d_sub: int) -> DataFrame:
     """m, k, j, mean, n: the mean of each non-empty cluster, dimension by dimension."""
-    subs = vectors.select("vec_id", F.posexplode(subvectors(F.col("embedding"), parts, d_sub)).alias("m", "sub"))
-    near = assign(vectors, codebook, parts, d_sub)
-    dims = subs.join(near, ["vec_id", "m"]).select("m", "k", F.posexplode("sub").alias("j", "x"))
-    return dims.groupBy("m", "k", "j").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("n"))
+    found = partial_sums(vectors, codebook_array(codebook)).groupBy("m", "k").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(d_sub)])
+    means = F.array(*[F.col(f"s{j}") / F.col("n") for j in range(d_sub)])
+    return found.select("m", "k", F.posexplode(means).alias("j", "mean"), "n")
 
 
 def train(vectors: DataFrame, parts: int = 64, codes: int = 256, iterations: int = 25, seed: int = 42) -> DataFrame:
@@ -155,21 +194,13 @@ def train(vectors: DataFrame, parts: int = 64, codes: int = 256, iterations: int
     x = knn.matrix(start.column(0))
     x = x[np.arange(codes) % len(x)]
     book = np.stack([x[:, m * d_sub : (m + 1) * d_sub] for m in range(parts)])
-    rows = vectors.select(F.col("vec_id").cast("bigint"), "embedding")
-    schema = "m int, k int, n bigint, sums array<double>, far double, far_id bigint, point array<double>"
     for _ in range(iterations):
-        sent = spark.sparkContext.broadcast(book)
-
-        def partial(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            yield from _partial(batches, sent.value)
-
-        found = rows.mapInArrow(partial, schema).groupBy("m", "k").agg(
+        found = partial_sums(vectors, book).groupBy("m", "k").agg(
             F.sum("n").alias("n"),
             *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(d_sub)],
             F.max(F.struct("far", (-F.col("far_id")).alias("neg"), "point")).alias("f"),
         )
         book = _updated(book, found.collect())  # one row a centroid
-        sent.destroy()
     return codebook_frame(spark, book)
 
 

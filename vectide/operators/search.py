@@ -31,7 +31,7 @@ def build_nodes(vectors: DataFrame, config: graph.BuildConfig, codebook: DataFra
                 "segment_id": table.column("segment_id"),
                 "local_id": pa.array(np.arange(len(x), dtype=np.int32)),
                 "vec_id": table.column("vec_id"),
-                "embedding": table.column("embedding"),
+                "embedding": table.column("embedding").cast(pa.list_(pa.float32())),  # elements may be marked not null
                 "neighbors": pa.array(list(neighbors.astype(np.int32)), pa.list_(pa.int32())),
                 "pq_code": codes,
                 "is_entry": pa.array(np.arange(len(x)) == entry),

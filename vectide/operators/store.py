@@ -1,10 +1,16 @@
 """Segments on disk, a versioned manifest, ingestion and compaction.
 
 A store is a folder: ``segments/<uuid>`` is one immutable Parquet table of a
-segment's nodes; ``manifest/<version>.json`` lists the segments of a snapshot. A
-change writes new segments, then publishes the next version by renaming a
-finished file, which fails if another writer published that version first. Old
-segments are deleted only after that, and only by ``vacuum``.
+segment's nodes; ``manifest/<version>.json`` lists the segments of a snapshot and
+the last batch of a stream that is in it. A change writes new segments, then
+publishes the next version by giving a finished file its name, which fails if
+another writer published that version first: by a hard link on local disks, by a
+rename on file systems whose rename refuses an existing name (HDFS and its like).
+Object stores without such a rename are not for manifests. Old segments are
+deleted only after that, and only by ``vacuum``.
+
+Segments that one merge has made are a run. Levels count runs, so a merge always
+leaves fewer of them, however many segments of ``SEGMENT_SIZE`` a run has.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +41,11 @@ class Segment:
     degree: int
     level: int = 0
     has_pq: bool = False
+    run: int = -1  # -1: a run of its own
+
+    @property
+    def run_id(self) -> int:
+        return self.segment_id if self.run < 0 else self.run
 
 
 def over_threshold(level: str = "level", n: str = "n"):
@@ -42,7 +54,9 @@ def over_threshold(level: str = "level", n: str = "n"):
 
 
 def level_counts(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("level").agg(F.count("*").alias("n"))
+    """level, n: the runs of each level; without a column of runs every segment is one."""
+    n = F.count_distinct(F.when(F.col("run") < 0, F.col("segment_id")).otherwise(F.col("run"))) if "run" in manifest.columns else F.count("*")
+    return manifest.groupBy("level").agg(n.alias("n"))
 
 
 def compaction_plan(manifest: DataFrame) -> DataFrame:
@@ -80,20 +94,22 @@ def ingest_batches(vectors: DataFrame, flush: int) -> DataFrame:
 
 
 def dense_rank_ids(df: DataFrame, by: str) -> DataFrame:
-    """``row``: 0, 1, 2, ... in the order of ``by``; one window a range of values, offsets from their counts."""
-    lo, hi = df.agg(F.min(by), F.max(by)).first()
-    if lo is None:
-        return df.withColumn("row", F.lit(0).cast("bigint"))
+    """``row``: 0, 1, 2, ... in the order of ``by``, nulls last; one window a range of values, offsets from their counts.
+
+    The ranges are approximate quantiles, so outliers don't put all rows in one.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    width = max(1, -(-(hi - lo + 1) // parts))
-    ranged = df.withColumn("_range", F.floor((F.col(by) - lo) / width))
+    cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    cuts = sorted(set(cuts or []))
+    lower = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    ranged = df.withColumn("_range", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(lower))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()  # one row a range
     total, offsets = 0, []
     for r in counts:
         offsets.append((r._range, total))
         total += r.n
-    at = df.sparkSession.createDataFrame(offsets, "_range bigint, _offset bigint")
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    at = df.sparkSession.createDataFrame(offsets, "_range int, _offset bigint")
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(by))) - 1
     return ranged.withColumn("row", inner).join(F.broadcast(at), "_range").withColumn("row", (F.col("row") + F.col("_offset")).cast("bigint")).drop("_range", "_offset")
 
 
@@ -115,29 +131,47 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max([0, *(int(n[:-5]) for n in names if n.endswith(".json"))])
 
-    def segments(self, version: int | None = None) -> list[Segment]:
+    def _read(self, version: int | None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest/{version:08d}.json").collect())
-        return [Segment(**x) for x in json.loads(text)]
+            return {"segments": [], "batch": -1}
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest/{version:08d}.json").collect()))
+
+    def segments(self, version: int | None = None) -> list[Segment]:
+        return [Segment(**x) for x in self._read(version)["segments"]]
+
+    def last_batch(self, version: int | None = None) -> int:
+        """The number of the last batch of a stream in the snapshot; -1 without one."""
+        return self._read(version)["batch"]
 
     def manifest(self, version: int | None = None) -> DataFrame:
         rows = [tuple(asdict(s).values()) for s in self.segments(version)]
-        return self.spark.createDataFrame(rows, "segment_id bigint, path string, id_offset bigint, count bigint, dim int, degree int, level int, has_pq boolean")
+        return self.spark.createDataFrame(rows, "segment_id bigint, path string, id_offset bigint, count bigint, dim int, degree int, level int, has_pq boolean, run bigint")
 
-    def commit(self, segments: list[Segment], base: int) -> int:
-        """Publish the version after ``base``; fails if it exists."""
+    def commit(self, segments: list[Segment], base: int, batch: int | None = None) -> int:
+        """Publish the version after ``base``, with the rows up to ``batch`` of a stream; fails if it exists."""
+        batch = self.last_batch(base) if batch is None else batch
         done = self._path(f"{self.path}/manifest/{base + 1:08d}.json")
         held = self._path(f"{self.path}/manifest/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(held, False)
-        out.write(bytearray(json.dumps([asdict(s) for s in segments], indent=1).encode()))
+        out.write(bytearray(json.dumps({"segments": [asdict(s) for s in segments], "batch": batch}, indent=1).encode()))
         out.close()
-        if self._fs.exists(done) or not self._fs.rename(held, done):
+        if not self._publish(held, done):
             self._fs.delete(held, False)
             raise RuntimeError(f"version {base + 1} was published by another writer")
         return base + 1
 
+    def _publish(self, held, done) -> bool:
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(done) and self._fs.rename(held, done)
+        jvm = self.spark.sparkContext._jvm
+        try:  # a second link of the same name is refused by the file system
+            jvm.java.nio.file.Files.createLink(*(jvm.java.io.File(p.toUri().getPath()).toPath() for p in (done, held)))
+        except Py4JJavaError:
+            return False
+        self._fs.delete(held, False)
+        return True
+
     # data
 
     def nodes(self, version: int | None = None) -> DataFrame:
@@ -153,20 +187,21 @@ class Store:
     def next_id(self) -> int:
         return max([0, *(s.id_offset + s.count for s in self.segments())])
 
-    def _write(self, vectors: DataFrame, config: graph.BuildConfig, codebook: DataFrame | None, level: int, first_segment: int) -> list[Segment]:
-        """Write (segment_id, vec_id, embedding) as segments, numbered from ``first_segment``."""
+    def node(self, segment_id: int, local_id: int, version: int | None = None) -> DataFrame:
+        """The node of a segment by its local id: no row if the segment has no such node; only its table is read."""
+        found = [s for s in self.segments(version) if s.segment_id == segment_id]
+        if not found:
+            raise ValueError(f"the snapshot has no segment {segment_id}")
+        return self.spark.read.parquet(found[0].path).where(F.col("local_id") == local_id)
+
+    def _write(self, vectors: DataFrame, config: graph.BuildConfig, codebook: DataFrame | None, level: int, first_segment: int, one_run: bool = False) -> list[Segment]:
+        """Write (segment_id, vec_id, embedding) as segments, numbered from ``first_segment``: a folder of the table each."""
         dim = dimension(vectors)
         path = f"{self.path}/segments/{uuid.uuid4().hex}"
         nodes = search.build_nodes(vectors.withColumn("segment_id", F.col("segment_id") + first_segment), config, codebook)
-        nodes.write.partitionBy("segment_id").parquet(path)
+        nodes.withColumn("part", F.col("segment_id")).write.partitionBy("part").parquet(path)
         found = self.spark.read.parquet(path).groupBy("segment_id").agg(F.min("vec_id").alias("lo"), F.count("*").alias("n")).orderBy("segment_id").collect()
-        out = []
-        for r in found:  # a segment's folder becomes a table of its own that holds its id
-            own = f"{self.path}/segments/{uuid.uuid4().hex}"
-            self.spark.read.parquet(f"{path}/segment_id={r.segment_id}").withColumn("segment_id", F.lit(r.segment_id).cast("bigint")).write.parquet(own)
-            out.append(Segment(int(r.segment_id), own, int(r.lo), int(r.n), dim, config.degree, level, codebook is not None))
-        self._fs.delete(self._path(path), True)
-        return out
+        return [Segment(int(r.segment_id), f"{path}/part={r.segment_id}", int(r.lo), int(r.n), dim, config.degree, level, codebook is not None, first_segment if one_run else -1) for r in found]
 
     def build(self, vectors: DataFrame, config: graph.BuildConfig = graph.BuildConfig(), codebook: DataFrame | None = None, size: int = SEGMENT_SIZE) -> int:
         """A first snapshot from vectors with dense ids."""
@@ -176,8 +211,11 @@ class Store:
         rows = assign_segments(vectors.select("vec_id", "embedding"), size).drop("local_id")
         return self.commit(self._write(rows, config, codebook, 0, 0), base)
 
-    def insert(self, vectors: DataFrame, flush: int = 0, config: graph.BuildConfig = graph.BuildConfig(), codebook: DataFrame | None = None, compact: bool = True, order: str = "vec_id") -> int:
-        """Append vectors with new ids, one level-0 segment for each ``flush`` of them; then compact."""
+    def insert(self, vectors: DataFrame, flush: int = 0, config: graph.BuildConfig = graph.BuildConfig(), codebook: DataFrame | None = None, compact: bool = True, order: str = "vec_id", batch: int | None = None) -> int:
+        """Append vectors with new ids, one level-0 segment for each ``flush`` of them; then compact.
+
+        batch: the number of a stream's batch, published with its rows.
+        """
         base = self.version()
         old = self.segments(base)
         if old:
@@ -188,7 +226,7 @@ class Store:
         rows = dense_rank_ids(vectors.select(F.col(order).alias("_by"), "embedding"), "_by")
         rows = rows.select((F.col("row") + first).alias("vec_id"), "embedding", F.floor(F.col("row") / (flush or SEGMENT_SIZE)).alias("segment_id"))
         number = max([-1, *(s.segment_id for s in old)]) + 1
-        version = self.commit(old + self._write(rows, config, codebook, 0, number), base)
+        version = self.commit(old + self._write(rows, config, codebook, 0, number), base, batch)
         return self.compact(config, codebook) if compact else version
 
     def compact(self, config: graph.BuildConfig = graph.BuildConfig(), codebook: DataFrame | None = None) -> int:
@@ -197,26 +235,28 @@ class Store:
             base = self.version()
             old = self.segments(base)
             many = {lv: [s for s in old if s.level == lv] for lv in sorted({s.level for s in old})}
-            due = next((v for lv, v in many.items() if len(v) > (LEVEL_HIGHER if lv else LEVEL_ZERO)), None)
+            due = next((v for lv, v in many.items() if len({s.run_id for s in v}) > (LEVEL_HIGHER if lv else LEVEL_ZERO)), None)
             if due is None:
                 return base
             number = max(s.segment_id for s in old) + 1
-            total = sum(s.count for s in due)
-            parts = -(-total // SEGMENT_SIZE)
-            rows = self.spark.read.parquet(*[s.path for s in due]).select("vec_id", "embedding")
-            rows = rows.withColumn("segment_id", F.lit(0).cast("bigint")) if parts == 1 else dense_rank_ids(rows, "vec_id").select("vec_id", "embedding", F.floor(F.col("row") / SEGMENT_SIZE).alias("segment_id"))
-            new = self._write(rows, config, codebook if any(s.has_pq for s in due) else None, due[0].level + 1, number)
+            rows = dense_rank_ids(self.spark.read.parquet(*[s.path for s in due]).select("vec_id", "embedding"), "vec_id")
+            rows = rows.select("vec_id", "embedding", F.floor(F.col("row") / SEGMENT_SIZE).alias("segment_id"))
+            new = self._write(rows, config, codebook if any(s.has_pq for s in due) else None, due[0].level + 1, number, True)
             gone = {s.segment_id for s in due}
             self.commit([s for s in old if s.segment_id not in gone] + new, base)
 
     def vacuum(self) -> int:
-        """Delete tables that the newest snapshot doesn't name; the number of tables."""
-        used = {s.path.rpartition("/")[2] for s in self.segments()}
+        """Delete segments that the newest snapshot doesn't name; their number."""
+        used = {"/".join(s.path.rsplit("/", 2)[1:]) for s in self.segments()}
         folder = self._path(f"{self.path}/segments")
-        gone = [s.getPath() for s in self._fs.listStatus(folder) if s.getPath().getName() not in used] if self._fs.exists(folder) else []
-        for p in gone:
-            self._fs.delete(p, True)
-        return len(gone)
+        gone = 0
+        for table in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            parts = [p.getPath() for p in self._fs.listStatus(table.getPath()) if p.isDirectory()]
+            left = [p for p in parts if f"{table.getPath().getName()}/{p.getName()}" in used]
+            for p in [table.getPath()] if not left else [p for p in parts if p not in left]:
+                self._fs.delete(p, True)
+            gone += len(parts) - len(left)
+        return gone
 
     def search(self, queries: DataFrame, config: graph.SearchConfig = graph.SearchConfig(), codebook: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         return search.ann_search(self.nodes(), queries, config, codebook)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vecs
 
 # Fixed values of the formats.
-CODEBOOK_MAGIC, SEGMENT_MAGIC, HEADER_BYTES = b"VPQC", b"VSG1", 4096
+CODEBOOK_MAGIC = b"VPQC"
 MANIFEST = "path string, id_offset bigint, level bigint"
 
 
@@ -26,11 +27,24 @@ def load_vectors(spark: SparkSession, path: str, limit: int = 0, kind: str | Non
 
 
 def write_vectors(df: DataFrame, path: str, kind: str = "fvecs", vector: str = "embedding") -> None:
-    """One file of all vectors in id order, streamed through the driver a partition at a time."""
+    """One file of all vectors in id order; tasks make the records, the driver appends them a partition at a time."""
     dtype = vecs.KINDS[kind][0]
+
+    def records(batches):
+        for batch in batches:
+            column = batch.column(0)
+            size = np.diff(column.offsets.to_numpy())
+            if len(size) and (size == size[0]).all():
+                x = np.asarray(column.flatten()).reshape(len(size), -1).astype(dtype)
+                rows = np.concatenate([np.full((len(x), 1), size[0], "<i4").view(np.uint8), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)], axis=1)
+                body = rows.tobytes()
+            else:
+                body = b"".join(struct.pack("<i", len(r)) + np.asarray(r).astype(dtype).tobytes() for r in column.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["body"])
+
     with open(path, "wb") as f:
-        for r in df.orderBy("vec_id").select(vector).toLocalIterator():
-            f.write(struct.pack("<i", len(r[0])) + np.asarray(r[0]).astype(dtype).tobytes())
+        for r in df.orderBy("vec_id").select(vector).mapInArrow(records, "body binary").toLocalIterator():
+            f.write(r.body)
 
 
 def _read(path: str) -> bytes:
@@ -58,28 +72,6 @@ def write_codebook(codebook: DataFrame, path: str) -> None:
         f.write(CODEBOOK_MAGIC + struct.pack("<4I", 1, *book.shape) + book.astype("<f4").tobytes())
 
 
-def read_segment(spark: SparkSession, path: str, id_offset: int = 0) -> DataFrame:
-    """segment nodes of a segment file: local_id, vec_id, embedding, neighbors, pq_code, is_entry."""
-    raw = _read(path)
-    if raw[:4] != SEGMENT_MAGIC:
-        raise ValueError(f"{path} is no segment")
-    version, dim, count, degree, entry, record, at = struct.unpack_from("<IIQIIIQ", raw, 4)
-    parts = struct.unpack_from("<2I", raw, 40)[0] if version >= 2 else 0
-    if not dim or not count or record != 4 * (dim + degree):
-        raise ValueError(f"{path}: {count} records of {record} bytes for {dim} dimensions and degree {degree}")
-    rows = np.frombuffer(raw, np.uint8, count * record, at).reshape(count, record)
-    x, n = rows[:, : 4 * dim].copy().view("<f4"), rows[:, 4 * dim :].copy().view("<u4")
-    codes = None
-    if parts:
-        at += count * record
-        m, k, d = struct.unpack_from("<3I", raw, at)
-        if m != parts:
-            raise ValueError(f"{path}: codes of {m} parts, the header has {parts}")
-        codes = np.frombuffer(raw, np.uint8, count * m, at + 12 + 4 * m * k * d).reshape(count, m)
-    data = [(i, id_offset + i, x[i].tolist(), n[i].tolist(), codes[i].tolist() if codes is not None else None, i == entry) for i in range(count)]
-    return spark.createDataFrame(data, "local_id int, vec_id bigint, embedding array<float>, neighbors array<int>, pq_code array<smallint>, is_entry boolean")
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, id_offset, level of a text manifest: fields between |, level 0 if left out, other lines ignored."""
     line = F.split("value", r"\|")

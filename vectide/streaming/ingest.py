@@ -1,13 +1,12 @@
 """A stream of vectors into a store: every micro-batch is one flush.
 
-``foreachBatch`` commits a snapshot a batch. The number of the last batch is kept
-beside the manifest, so a batch that Spark runs again after a failure is skipped.
-Readers use the newest published snapshot and never see half a batch.
+``foreachBatch`` commits a snapshot a batch. The manifest that publishes a batch's
+rows has its number too, so a batch that Spark runs again after a failure is
+skipped if, and only if, its rows are in. Readers use the newest published snapshot and never see half a batch.
 """
 
 from __future__ import annotations
 
-import json
 import time
 
 from pyspark.sql import DataFrame
@@ -25,23 +24,11 @@ class StreamWriter:
         self.store, self.config, self.codebook, self.flush = store, config, codebook, flush
         self.log: list[dict] = []
 
-    def _mark(self) -> str:
-        return f"{self.store.path}/batches"
-
-    def last_batch(self) -> int:
-        fs, path = self.store._fs, self.store._path(self._mark())
-        if not fs.exists(path):
-            return -1
-        return max([-1, *(int(s.getPath().getName()) for s in fs.listStatus(path))])
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last_batch() or batch.isEmpty():
+        if batch_id <= self.store.last_batch() or batch.isEmpty():
             return
         began = time.time()
-        version = self.store.insert(batch, self.flush, self.config, self.codebook)
-        out = self.store._fs.create(self.store._path(f"{self._mark()}/{batch_id}"), True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
+        version = self.store.insert(batch, self.flush, self.config, self.codebook, batch=batch_id)
         self.log.append({"batch_id": batch_id, "version": version, "segments": len(self.store.segments(version)), "seconds": time.time() - began})
 
 
