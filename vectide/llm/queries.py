@@ -83,6 +83,45 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM d LEFT JOIN c ON c.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
-#: The other operators hash, sketch, learn or tokenise in ways that SQL can't express, or take SQL too long on whole
-#: tables; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_warc_bundles": _WARC, "op9_decontaminate": _LEAKS}
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LIMITS = ", ".join(f"quantile_disc({c}, {q}) AS {side}_{c}" for c in quality_rules.SIDES for side, q in (("lo", quality_rules.TAIL), ("hi", 1 - quality_rules.TAIL)))
+_USED = ", ".join(f"CASE WHEN g.n >= {quality_rules.LEAST_ROWS} THEN g.{x} WHEN l.n >= {quality_rules.LEAST_ROWS} THEN l.{x} ELSE a.{x} END AS {x}" for c in quality_rules.SIDES for x in (f"lo_{c}", f"hi_{c}"))
+_INSIDE = " AND ".join([f"m.{c} >= t.lo_{c}" for c, x in quality_rules.SIDES.items() if x[0]] + [f"m.{c} <= t.hi_{c}" for c, x in quality_rules.SIDES.items() if x[1]])
+
+#: Quantiles of all values: a sketch has the same up to some SKETCH_K texts of a group.
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_SPACE}) <> '') AS lines FROM d),
+g3 AS (SELECT r, k, w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS k FROM w WHERE len(w) > 2)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS c FROM g3) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY r),
+b AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  len(lines) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.r = w.r),
+m AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed,
+  word_chars / n_words AS word_length, n_symbols / n_words AS symbol_rate, n_dup_lines / n_lines AS dup_line_share, n_repeat_words / n_words AS repeat_share FROM b),
+ok AS (SELECT * FROM m WHERE NOT base_failed),
+g AS (SELECT lang, source, count(*) AS n, {_LIMITS} FROM ok GROUP BY lang, source), l AS (SELECT lang, count(*) AS n, {_LIMITS} FROM ok GROUP BY lang), a AS (SELECT {_LIMITS} FROM ok),
+t AS (SELECT g.lang, g.source, {_USED} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_INSIDE}, true) AS kept
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
+"""
+
+#: Texts as hex digits, cut into pieces of 256 windows of 50 bytes; the least doc_id of each window.
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER () AS r FROM documents),
+c AS (SELECT r, doc_id, c, substr(x, 2 * c + 1, 610) AS x FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 2 - 49, 256)) AS c FROM d WHERE len(x) >= 100)),
+s AS (SELECT r, doc_id, c + j AS k, md5_number(substr(x, 2 * j + 1, 100)) AS h FROM (SELECT r, doc_id, c, x, unnest(range(least(256, len(x) // 2 - 49))) AS j FROM c)),
+f AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h HAVING count(*) > 1),
+z AS (SELECT s.r, s.k FROM s JOIN f ON s.h = f.h WHERE s.doc_id > f.first),
+e AS (SELECT r, k, k > coalesce(max(k) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -51) + 50 AS starts FROM z),
+i AS (SELECT r, run, min(k) AS lo, max(k) + 50 AS hi FROM (SELECT r, k, sum(starts::INT) OVER (PARTITION BY r ORDER BY k) AS run FROM e) GROUP BY r, run),
+o AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM i GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN los IS NULL THEN x ELSE array_to_string(list_transform(range(len(los) + 1), lambda j:
+    substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * his[j] + 1 END, CASE WHEN j = len(los) THEN len(x) ELSE 2 * los[j + 1] - CASE WHEN j = 0 THEN 0 ELSE 2 * his[j] END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN o ON o.r = d.r
+"""
+
+#: The other operators hash, learn or tokenise in ways that SQL can't express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_warc_bundles": _WARC, "op3_quality_rules": _QUALITY, "op8_suffix_dedup": _REPEATS, "op9_decontaminate": _LEAKS}
