@@ -399,6 +399,31 @@ def test_store_life(spark, tmp_path):
         s.build(frame(spark, x), config)
 
 
+def test_segments_are_searched_where_they_lie(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(90, 4))
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.build(frame(spark, x), graph.BuildConfig(degree=6, builder="brute"), size=20)
+    q, config = as_queries(frame(spark, x[:5])), graph.SearchConfig(4, 0, 100)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    found = search.search_files(s.files(), q, config)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    hits, stats = search.ann_search(s.nodes(), q, config)
+    assert rows(search.summaries(found, 4)[0]) == rows(hits)
+    assert rows(search.summaries(found, 4)[1].drop("latency_ms")) == rows(stats.drop("latency_ms"))
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 64)  # several blocks of queries
+    assert rows(search.summaries(search.search_files(s.files(), q, config), 4)[0]) == rows(hits)
+    assert search.search_files(s.files(), q.limit(0), config).count() == 0
+
+
+def test_a_file_with_part_of_a_segment_is_refused(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.build(frame(spark, np.random.default_rng(7).normal(size=(20, 4))), graph.BuildConfig(degree=3, builder="brute"))
+    s.nodes().where("local_id >= 5").coalesce(1).write.parquet(f"{tmp_path}/part")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{tmp_path}/part")
+    with pytest.raises(Exception, match="a part of segment"):
+        search.search_files(files, as_queries(frame(spark, np.eye(4)))).count()
+
+
 @pytest.mark.parametrize("n", [60, 250])
 def test_compaction_of_runs_of_many_segments_ends(spark, tmp_path, monkeypatch, n):
     monkeypatch.setattr(store, "SEGMENT_SIZE", 10)

@@ -1,7 +1,7 @@
 """Commands on a store: train-pq, build, query, eval, insert, stress; and experiments: sweep, ablation, cache-sweep,
 thread-sweep, write-bench.
 
-``threads`` runs that many blocks of queries at once, each a job of its own. ``cache`` above 0 keeps the nodes in
+``threads`` runs that many blocks of queries at once, each a job of its own. ``cache`` above 0 keeps the segments in
 Spark's storage (its size is Spark's setting); ``prefetch`` is only reported: Parquet is read ahead by the reader.
 Experiments write their rows as CSV to ``output``.
 
@@ -119,19 +119,18 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
 def search_blocks(spark: SparkSession, store: Store, q: DataFrame, o: dict, k: int) -> tuple[DataFrame, DataFrame]:
     """(hits, stats) of the queries in ``threads`` blocks that run at once, kept in Spark's storage."""
     config, book = graph.SearchConfig(k, o["beam"], o["max-visits"]), _codebook(spark, o)
-    nodes = store.nodes().persist() if o["cache"] else store.nodes()
+    files = store.files().persist() if o["cache"] else store.files()
 
     def one(b: int) -> tuple[DataFrame, DataFrame]:
         part = q if o["threads"] <= 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(o["threads"])) == b)
-        found = tuple(x.persist() for x in search.ann_search(nodes, part, config, book))
-        for x in found:
-            x.count()
-        return found
+        found = search.search_files(files, part, config, book).persist()
+        found.count()
+        return search.summaries(found, k)
 
     with ThreadPoolExecutor(max(1, o["threads"])) as pool:
         blocks = list(pool.map(one, range(max(1, o["threads"]))))
     if o["cache"]:
-        nodes.unpersist()
+        files.unpersist()
     return tuple(functools.reduce(DataFrame.unionByName, x) for x in zip(*blocks))
 
 
@@ -210,9 +209,11 @@ def stress(spark: SparkSession, store: Store, o: dict) -> DataFrame:
         while not done.is_set() or not latencies:
             at, wide = rng.randrange(n_q), max(1, o["read-batch-size"])
             some = q.where(F.pmod(F.col("qid") - at, F.lit(n_q)) < wide)
-            hits, stats = store.search(some, config, book)
+            rows_of = search.search_files(store.files(), some, config, book).persist()
+            hits, stats = search.summaries(rows_of, config.top_k)
             stats = stats.groupBy("qid").agg(F.sum("latency_ms").alias("ms"), F.sum("visited").alias("v"), F.sum("exact_reads").alias("e")).collect()  # a batch of queries
             found = [r[0] for r in evaluate.recall(hits, truth, (10,), some).select("recall_10").collect()] if truth is not None else []
+            rows_of.unpersist()
             with lock:
                 latencies.extend(r.ms for r in stats)
                 recalls.extend(found)

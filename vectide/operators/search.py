@@ -1,11 +1,18 @@
-"""Approximate search over segments: one task for each segment, merged to a global top k."""
+"""Approximate search over segments: one task for each segment, merged to a global top k.
+
+Nodes of any origin are brought together by segment, which shuffles them for every
+block of queries. A store's segments are files of their own (``search_files``): a task
+reads them whole and searches in place, and only candidates are shuffled.
+"""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,28 +49,56 @@ def build_nodes(vectors: DataFrame, config: graph.BuildConfig, codebook: DataFra
     return rows.groupBy("segment_id").applyInArrow(run, "segment_id bigint, local_id int, vec_id bigint, embedding array<float>, neighbors array<int>, pq_code array<smallint>, is_entry boolean")
 
 
+_NODE = ["segment_id", "local_id", "vec_id", "embedding", "neighbors", "pq_code", "is_entry"]
+
+
 def ann_search(nodes: DataFrame, queries: DataFrame, config: graph.SearchConfig = graph.SearchConfig(), codebook: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, stats): qid, rk, vec_id, dist; and counters of each query and segment."""
+
+    def scan(sent) -> DataFrame:
+        return nodes.select(*_NODE).groupBy("segment_id").applyInArrow(lambda table: _search_segment(table, *sent.value, config), _FOUND)
+
+    return summaries(_found(nodes, queries, codebook, scan), config.top_k)
+
+
+def search_files(files: DataFrame, queries: DataFrame, config: graph.SearchConfig = graph.SearchConfig(), codebook: DataFrame | None = None) -> DataFrame:
+    """The rows that ``summaries`` takes, of segments that are a Parquet file each: ``content`` has a file's bytes.
+
+    A file that is not one whole segment is an error.
+    """
+
+    def scan(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column(0):
+                    table = pa.parquet.read_table(pa.BufferReader(body.as_buffer()), columns=_NODE)
+                    if not table.num_rows:
+                        continue
+                    local = np.sort(table.column("local_id").to_numpy())
+                    if (local != np.arange(len(local))).any() or not table.column("is_entry").to_numpy().any():
+                        raise ValueError(f"a file has a part of segment {table.column('segment_id')[0]} only")
+                    yield from _search_segment(table, *sent.value, config).to_batches()
+
+        return files.select("content").mapInArrow(run, _FOUND)
+
+    return _found(files, queries, codebook, scan)
+
+
+def _found(data: DataFrame, queries: DataFrame, codebook: DataFrame | None, scan) -> DataFrame:
+    """Candidates and counters of all queries: a pass of ``scan`` for each block of them."""
     book = None if codebook is None else pq.codebook_array(codebook)
-    out = None
-    spark = nodes.sparkSession
+    spark, out = data.sparkSession, None
     for ids, q in knn.query_blocks(queries, "qid", "embedding"):
-        sent = spark.sparkContext.broadcast((ids, q, book))
-        rows = nodes.select("segment_id", "local_id", "vec_id", "embedding", "neighbors", "pq_code", "is_entry")
-        found = rows.groupBy("segment_id").applyInArrow(_searcher(sent, config), _FOUND)
+        found = scan(spark.sparkContext.broadcast((ids, q, book)))
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], _FOUND)
-    hits = knn.top_k(out.where(F.col("vec_id").isNotNull()).select("qid", "vec_id", "dist"), config.top_k).select("qid", "rk", "vec_id", "dist")
-    stats = out.groupBy("qid", "segment_id").agg(F.max("visited").alias("visited"), F.max("pq_distances").alias("pq_distances"), F.max("visited").alias("exact_reads"), F.max("latency_ms").alias("latency_ms"))
-    return hits, stats
-
+    return spark.createDataFrame([], _FOUND) if out is None else out
 
-def _searcher(sent, config: graph.SearchConfig):
-    def run(table: pa.Table) -> pa.Table:
-        return _search_segment(table, *sent.value, config)
 
-    return run
+def summaries(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, stats) of the candidates; who reads both keeps ``found`` first, or the search runs twice."""
+    hits = knn.top_k(found.where(F.col("vec_id").isNotNull()).select("qid", "vec_id", "dist"), k).select("qid", "rk", "vec_id", "dist")
+    stats = found.groupBy("qid", "segment_id").agg(F.max("visited").alias("visited"), F.max("pq_distances").alias("pq_distances"), F.max("visited").alias("exact_reads"), F.max("latency_ms").alias("latency_ms"))
+    return hits, stats
 
 
 def _search_segment(table: pa.Table, ids: np.ndarray, q: np.ndarray, book: np.ndarray | None, config: graph.SearchConfig) -> pa.Table:

@@ -181,6 +181,13 @@ class Store:
             raise ValueError("the store is empty")
         return self.spark.read.parquet(*[s.path for s in segments])
 
+    def files(self, version: int | None = None) -> DataFrame:
+        """The snapshot's segments as files, one row (``content``) each, which no task splits."""
+        segments = self.segments(version)
+        if not segments:
+            raise ValueError("the store is empty")
+        return self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([s.path for s in segments]).select("content")
+
     def vectors(self, version: int | None = None) -> DataFrame:
         return self.nodes(version).select("vec_id", "embedding")
 
@@ -199,7 +206,7 @@ class Store:
         dim = dimension(vectors)
         path = f"{self.path}/segments/{uuid.uuid4().hex}"
         nodes = search.build_nodes(vectors.withColumn("segment_id", F.col("segment_id") + first_segment), config, codebook)
-        nodes.withColumn("part", F.col("segment_id")).write.partitionBy("part").parquet(path)
+        nodes.withColumn("part", F.col("segment_id")).write.option("maxRecordsPerFile", 0).partitionBy("part").parquet(path)  # a file a segment
         found = self.spark.read.parquet(path).groupBy("segment_id").agg(F.min("vec_id").alias("lo"), F.count("*").alias("n")).orderBy("segment_id").collect()
         return [Segment(int(r.segment_id), f"{path}/part={r.segment_id}", int(r.lo), int(r.n), dim, config.degree, level, codebook is not None, first_segment if one_run else -1) for r in found]
 
@@ -259,4 +266,4 @@ class Store:
         return gone
 
     def search(self, queries: DataFrame, config: graph.SearchConfig = graph.SearchConfig(), codebook: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        return search.ann_search(self.nodes(), queries, config, codebook)
+        return search.summaries(search.search_files(self.files(), queries, config, codebook), config.top_k)

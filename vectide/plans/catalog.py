@@ -401,14 +401,12 @@ def ann_search_recall(spark, sf_dir):
     base = vectors(spark, sf_dir)
     b = book(base)
     q = queries_of(base)
-    nodes = search.build_nodes(store.assign_segments(base, 500), graph.BuildConfig(degree=16, builder="vamana", beam=32, max_visits=100, prune="standard"), b)
-    folder = f"{_folder(spark)}/vectide-nodes-{uuid.uuid4().hex}"
-    nodes.write.parquet(folder)
-    nodes = spark.read.parquet(folder)
+    s = _store(spark)
+    s.build(base, graph.BuildConfig(degree=16, builder="vamana", beam=32, max_visits=100, prune="standard"), b, 500)
     truth = knn.exact_knn(q, base, K)
     out = None
     for name, codes, beam in (("exact", None, 64), ("pq", b, 256)):
-        hits, _ = search.ann_search(nodes, q, graph.SearchConfig(top_k=K, beam=beam, max_visits=400), codes)
+        hits, _ = s.search(q, graph.SearchConfig(top_k=K, beam=beam, max_visits=400), codes)
         r = evaluate.mean_recall(evaluate.recall(hits, truth, (1, 10), q)).select(F.lit(name).alias("frontier"), *[(F.col(f"recall_{k}") >= 0.9).alias(f"recall_{k}_reached") for k in (1, 10)])
         out = r if out is None else out.unionByName(r)
     return out
