@@ -6,6 +6,7 @@ bounded size; segments and blocks of queries run in parallel.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass
 
@@ -162,7 +163,8 @@ def beam_search(x: np.ndarray, neighbors: np.ndarray, entry: int, q: np.ndarray,
             else:
                 dist = adc[0][parts[None, :], adc[1][new]].sum(1)
                 pq += len(new)
-            frontier = list(heapq.merge(frontier, sorted(zip(dist.tolist(), new.tolist()))))
+            for at in zip(dist.tolist(), new.tolist()):
+                bisect.insort(frontier, at)
         if config.beam and len(frontier) > config.beam:
             if config.dedupe:
                 waiting[[u for _, u in frontier[config.beam :]]] = False
