@@ -176,7 +176,10 @@ def test_error_falls_with_more_centroids(spark):
     errors = []
     for k in (2, 8, 32):
         book = pq.train(df, 2, k, 5)
-        errors.append(pq.error(df, pq.encode(df, book), book).agg(F.avg("error")).first()[0])
+        one, other = pq.error(df, book), pq.error(df, book, pq.encode(df, book))
+        assert sorted(one.collect()) == sorted(other.collect())
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+        errors.append(one.agg(F.avg("error")).first()[0])
     assert errors == sorted(errors, reverse=True)
 
 
@@ -450,6 +453,12 @@ def test_rows_without_an_id_are_kept_last(spark, tmp_path):
     assert [rows[i] for i in range(3)] == [4.0, 1.0, 3.0] and sorted(rows) == list(range(5))
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [1, 5, 9], list(range(0, 100, 3)), list(range(1, 60, 7))])
+def test_ranges_of_sorted_cuts(spark, cuts):
+    got = spark.range(-2, 110).select("id", store.range_of(F.col("id"), cuts).alias("r")).collect()
+    assert all(r.r == sum(c < r.id for c in cuts) for r in got)
+
+
 def test_nodes_of_arrays_marked_not_null(spark):
     df = spark.range(6).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit(0).alias("segment_id"))
     assert search.build_nodes(df, graph.BuildConfig(degree=2)).count() == 6

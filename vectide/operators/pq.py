@@ -81,10 +81,26 @@ def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     return codes.select(F.col("vec_id").cast("bigint"), "pq_code").mapInArrow(run, "vec_id bigint, decoded array<float>")
 
 
-def error(vectors: DataFrame, codes: DataFrame, codebook: DataFrame) -> DataFrame:
-    """vec_id, error: distance of each vector to its decoded code."""
-    joined = vectors.join(decode(codes, codebook), "vec_id")
-    return joined.select("vec_id", l2_squared(F.col("embedding"), F.col("decoded")).alias("error"))
+def error(vectors: DataFrame, codebook: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """vec_id, error: distance of each vector to its decoded code.
+
+    Without ``codes`` (vec_id, pq_code) each vector is encoded in the same pass, and nothing is shuffled; with them,
+    codes are joined, not decoded vectors.
+    """
+    book = vectors.sparkSession.sparkContext.broadcast(codebook_array(codebook))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    rows = rows if codes is None else rows.join(codes.select("vec_id", "pq_code"), "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = knn.matrix(batch.column(1))
+            code = codes_of(x, book.value) if batch.num_columns < 3 else knn.matrix(batch.column(2)).astype(np.int64)
+            off = x - np.concatenate([book.value[m][code[:, m]] for m in range(code.shape[1])], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((off**2).sum(1))], names=["vec_id", "error"])
+
+    return rows.mapInArrow(run, "vec_id bigint, error double")
 
 
 def adc_tables(queries: DataFrame, codebook: DataFrame, d_sub: int) -> DataFrame:

@@ -16,11 +16,12 @@ leaves fewer of them, however many segments of ``SEGMENT_SIZE`` a run has.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import check_same_dimension, dimension
@@ -93,6 +94,16 @@ def ingest_batches(vectors: DataFrame, flush: int) -> DataFrame:
     return dense_rank_ids(vectors, "vec_id").withColumn("batch", F.floor(F.col("row") / flush)).drop("row")
 
 
+def range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are below a value: steps of about the root of their number, then the cuts of one step."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    whole = below(F.lit(cuts[step - 1 :: step])) * step
+    return (whole + below(F.slice(F.lit(cuts), whole + 1, step))).cast("int")
+
+
 def dense_rank_ids(df: DataFrame, by: str) -> DataFrame:
     """``row``: 0, 1, 2, ... in the order of ``by``, nulls last; one window a range of values, offsets from their counts.
 
@@ -101,8 +112,7 @@ def dense_rank_ids(df: DataFrame, by: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
     cuts = sorted(set(cuts or []))
-    lower = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(lower))
+    ranged = df.withColumn("_range", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(range_of(F.col(by), cuts)))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()  # one row a range
     total, offsets = 0, []
     for r in counts:

@@ -233,7 +233,7 @@ def pq_assign_join(spark, sf_dir):
 def pq_decode_error(spark, sf_dir):
     base = vectors(spark, sf_dir)
     b = book(base)
-    return pq.error(base, pq.encode(base, b), b).withColumn("error", F.round("error", 6))
+    return pq.error(base, b, pq.encode(base, b)).withColumn("error", F.round("error", 6))
 
 
 @query(f"SELECT qid, CAST(m AS INTEGER) AS m, CAST(k AS INTEGER) AS k, round(dist, 6) AS dist FROM ({ADC_T})")
@@ -298,7 +298,7 @@ def pq_train_error(spark, sf_dir):
     base = vectors(spark, sf_dir)
     out, trained = [], pq.train(base, PARTS, CODES, 5)
     for b in (book(base), trained):
-        out.append(pq.error(base, pq.encode(base, b), b).agg(F.avg("error")).first()[0])
+        out.append(pq.error(base, b).agg(F.avg("error")).first()[0])
     used = pq.assign(base, trained, PARTS, D_SUB).select("m", "k").distinct()
     return used.agg(F.lit(out[1] < out[0]).alias("trained_is_nearer"), (F.count("*") == PARTS * CODES).alias("all_codes_used"))
 
