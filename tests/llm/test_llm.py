@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -425,6 +426,26 @@ def test_warc(spark, tmp_path):
     assert warc_bundles.digest(pages.limit(0)).count() == 0
 
 
+def test_warc_bundles_of_lost_attempts(spark, tmp_path):
+    """Files that the index doesn't name are not read, and the contents of the others are never shuffled."""
+    folder = f"{tmp_path}/w"
+    pages = spark.createDataFrame([(i, f"u{i}", f"text {i}" * 50) for i in range(40)], "page_id long, url string, html string")
+    index = warc_bundles.write(pages.repartition(4), f"file://{folder}", frame_bytes=500, bundle_bytes=600)
+    names = sorted(r.bundle for r in index.select("bundle").distinct().collect())
+    assert len(names) > 2
+    shutil.copy(f"{folder}/{names[0]}", f"{folder}/0lost.warc.zst")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = warc_bundles.read(spark, f"file://{folder}", index)
+        assert sorted(r.page_id for r in got.collect()) == list(range(40))
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        contents = plan[: plan.index("BroadcastExchange")]  # the side of the join that the files stream through
+        assert "BroadcastHashJoin" in contents and "content" in contents and "hashpartitioning" not in contents
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def measures(t):
     w = [x.decode() for x in WHITE.findall((t or "").encode())]
     grams = list(zip(w, w[1:], w[2:]))

@@ -36,10 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise, own_dir
+from .scratch import few, materialise, own_dir
 
 FRAME_BYTES = 512 << 10
 BUNDLE_BYTES = 32 << 20
+#: Most names of files that are broadcast: some 20 MB.
+STALE_NAMES = 1 << 18
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -200,10 +202,11 @@ def read(spark: SparkSession, folder: str, index: DataFrame, with_payload: bool
                     rows = [parse(head, block)[: len(types)] for _, head, block in records_of(data)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    named = index.select("bundle").distinct()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(named, "bundle")
-    return files.select("content").mapInArrow(run, schema)
+    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1))
+    # names are compared first, without contents: what the index doesn't name are a few files of lost attempts
+    stale = files.select("bundle").join(index.select("bundle").distinct(), "bundle", "left_anti")
+    return files.join(few(stale, STALE_NAMES), "bundle", "left_anti").select("content").mapInArrow(run, schema)
 
 
 def fetch(folder: str, entry) -> tuple:
