@@ -271,6 +271,13 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
     assert float(out.stdout.split()[-1]) < 600  # MB
 
 
+def test_heatmap_axes(spark):
+    runs = spark.createDataFrame([("b", 8, 1.0), ("a", 16, 2.0), ("a", 4, 3.0)], "m string, beam int, v double")
+    out = evaluate.heatmap(runs, "m", "beam", "v")
+    assert out.columns == ["m", "4", "8", "16"]
+    assert sorted(map(tuple, out.collect())) == [("a", 3.0, None, 2.0), ("b", None, 1.0, None)]
+
+
 def test_sweep(spark):
     rows = evaluate.sweep(lambda beam, visits: spark.createDataFrame([(beam * visits,)], "x int"), {"beam": [1, 2], "visits": [3]})
     assert [(r["beam"], r["x"]) for r in rows] == [(1, 3), (2, 6)]
@@ -504,13 +511,14 @@ def test_commands(spark, tmp_path):
     sources.write_vectors(rows.withColumnRenamed("qid", "vec_id"), at["gt.ivecs"], "ivecs")
     home = f"file://{tmp_path}/store"
     assert cli.run(spark, ["train-pq", "--input", at["base.fvecs"], "--output", at["book.pcb"], "--pq-m", "4", "--pq-k", "8", "--pq-iters", "2"]).count() == 32
-    assert cli.run(spark, ["build", "--input", at["base.fvecs"], "--output", home, "--degree", "79", "--codebook", at["book.pcb"]]).count() == 1
+    assert cli.run(spark, ["build", "--input", at["base.fvecs"], "--output", home, "--degree", "79", "--codebook", at["book.pcb"], "--segment", str(tmp_path / "vsg")]).count() == 1
+    assert sources.read_segment(spark, str(tmp_path / "vsg" / "segment_0.vsg")).count() == 80
     assert cli.run(spark, ["query", "--manifest", home, "--input", at["query.fvecs"], "--topk", "3"]).count() == 24
     report = cli.run(spark, ["eval", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--ks", "1,10", "--beam", "0", "--threads", "2"]).first()
     assert (report.num_threads, report.beam, report.total_prefetch_hits, report.cache_mb) == (2, 0, 0, 0)
     assert report.recall_1 == report.recall_10 == 1.0 and report.num_queries == 8 and report.qps > 0
     assert cli.run(spark, ["insert", "--manifest", home, "--input", at["more.fvecs"], "--degree", "4", "--codebook", at["book.pcb"], "--flush", "10"]).count() == 3
-    stress = ["stress", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--write-input", at["more.fvecs"], "--codebook", at["book.pcb"], "--duration", "3", "--read-threads", "2", "--write-threads", "2", "--read-batch-size", "3", "--write-batch-size", "8"]
+    stress = ["stress", "--manifest", home, "--input", at["query.fvecs"], "--groundtruth", at["gt.ivecs"], "--write-input", at["more.fvecs"], "--codebook", at["book.pcb"], "--duration", "3", "--read-threads", "2", "--write-threads", "2", "--read-batch-size", "3", "--write-batch-size", "8", "--cache", "1", "--limit", "6"]
     rows = cli.run(spark, stress).collect()
     assert [r.kind for r in rows].count("summary") == 1 and rows[-1].reads > 0 and rows[-1].read_qps > 0 and rows[-1].recall10 is not None
     assert 0 < rows[-1].write_ops <= 15 and all(a.write_ops <= b.write_ops for a, b in zip(rows, rows[1:]))

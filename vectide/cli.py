@@ -3,7 +3,8 @@ thread-sweep, write-bench.
 
 ``threads`` runs that many blocks of queries at once, each a job of its own. ``cache`` above 0 keeps the segments in
 Spark's storage (its size is Spark's setting); ``prefetch`` is only reported: Parquet is read ahead by the reader.
-Experiments write their rows as CSV to ``output``.
+Experiments write their rows as CSV to ``output``. ``build --segment`` names a folder that gets the segments as files
+of the segment format, too.
 
 Options come from the command line, then ``--config`` (a flat JSON object), then
 ``--dataset profile`` of ``--catalog``, then the defaults below.
@@ -32,11 +33,11 @@ _EVAL = {"ks": "1,10,100", "beam": 8, "max-visits": 1000, "limit": 0, "threads":
 #: (defaults, role of the data set that is the input) of each command.
 COMMANDS: dict[str, tuple[dict, str]] = {
     "train-pq": ({"pq-m": 64, "pq-k": 256, "pq-iters": 25, "limit": 100_000}, "learn"),
-    "build": ({"output": "data", "limit": 0} | _BUILD, "base"),
+    "build": ({"output": "data", "segment": "", "limit": 0} | _BUILD, "base"),
     "query": ({"topk": 10, "beam": 8, "max-visits": 1000, "limit": 0, "threads": 1, "cache": 0, "prefetch": "off"}, "query"),
     "eval": (_EVAL | {"format": "table"}, "query"),
     "insert": ({"output": "data", "flush": 0, "limit": 0} | _BUILD, "base"),
-    "stress": ({"output": "data", "duration": 30, "read-threads": 4, "write-threads": 1, "read-batch-size": 16, "write-batch-size": 100, "write-limit": 0, "beam": 8, "max-visits": 1000} | _BUILD, "query"),
+    "stress": ({"output": "data_stress", "limit": 0, "cache": 0, "duration": 30, "read-threads": 4, "write-threads": 1, "read-batch-size": 16, "write-batch-size": 100, "write-limit": 0, "beam": 8, "max-visits": 1000} | _BUILD, "query"),
     "sweep": (_EVAL | {"beams": "4,8,16,32", "visits": "500,1000,2000", "limit": 1000, "threads": 4, "output": "sweep.csv"}, "query"),
     "ablation": (_EVAL | {"caches": "0,200", "thread-counts": "1,4", "prefetches": "off,on", "limit": 1000, "output": "ablation.csv"}, "query"),
     "cache-sweep": (_EVAL | {"caches": "0,2,20,80,200", "limit": 1000, "threads": 4, "output": "cache_sweep.csv"}, "query"),
@@ -101,7 +102,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         return write_bench(spark, o)
     store = Store(spark, o.get("manifest") or o["output"])
     if command == "build":
-        store.build(sources.load_vectors(spark, o["input"], o["limit"]), _build_config(o), _codebook(spark, o))
+        book = _codebook(spark, o)
+        store.build(sources.load_vectors(spark, o["input"], o["limit"]), _build_config(o), book)
+        if o["segment"]:
+            sources.write_segments(store.nodes(), o["segment"], book)
         return store.manifest()
     if command == "insert":
         store.insert(sources.load_vectors(spark, o["input"], o["limit"]), o["flush"], _build_config(o), _codebook(spark, o))
@@ -192,6 +196,19 @@ def stress(spark: SparkSession, store: Store, o: dict) -> DataFrame:
     done, failed, began = threading.Event(), [], time.time()
     latencies, recalls, counts = [], [], {"next": 0, "writes": 0, "visited": 0, "exact_reads": 0}
 
+    snapshot: dict[int, DataFrame] = {}
+
+    def newest() -> DataFrame:
+        """The files of the newest snapshot; with a cache, they are kept until the next one."""
+        with lock:
+            version = store.version()
+            if version not in snapshot:
+                for old in snapshot.values():
+                    old.unpersist()
+                snapshot.clear()
+                snapshot[version] = store.files(version).persist() if o["cache"] else store.files(version)
+            return snapshot[version]
+
     def write() -> None:
         while not done.is_set():
             with lock:
@@ -209,7 +226,7 @@ def stress(spark: SparkSession, store: Store, o: dict) -> DataFrame:
         while not done.is_set() or not latencies:
             at, wide = rng.randrange(n_q), max(1, o["read-batch-size"])
             some = q.where(F.pmod(F.col("qid") - at, F.lit(n_q)) < wide)
-            rows_of = search.search_files(store.files(), some, config, book).persist()
+            rows_of = search.search_files(newest(), some, config, book).persist()
             hits, stats = search.summaries(rows_of, config.top_k)
             stats = stats.groupBy("qid").agg(F.sum("latency_ms").alias("ms"), F.sum("visited").alias("v"), F.sum("exact_reads").alias("e")).collect()  # a batch of queries
             found = [r[0] for r in evaluate.recall(hits, truth, (10,), some).select("recall_10").collect()] if truth is not None else []
@@ -251,6 +268,8 @@ def stress(spark: SparkSession, store: Store, o: dict) -> DataFrame:
     if failed:
         raise failed[0]
     q.unpersist()
+    for files in snapshot.values():
+        files.unpersist()
     rows.append(sample("summary", began, 0))
     return spark.createDataFrame(rows, "kind string, time double, read_qps double, p50_ms double, p95_ms double, p99_ms double, write_ops long, recall10 double, reads long, avg_ms double, avg_visited double, avg_exact_reads double")
 

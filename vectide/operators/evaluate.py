@@ -89,8 +89,8 @@ def latency_floor_rank(values: DataFrame, column: str, by: list[str], ps: tuple[
     return _at_ranks(values, column, keys, names).select(*by, *names)
 
 
-def heatmap(runs: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
-    """One row for each value of ``row``, one column for each of ``columns``."""
+def heatmap(runs: DataFrame, row: str, column: str, value: str, columns: list | None = None) -> DataFrame:
+    """One row for each value of ``row``, one column for each of ``columns`` (default: all values of ``column``, sorted)."""
     return runs.groupBy(row).pivot(column, columns).agg(F.first(value))
 
 
