@@ -1,6 +1,8 @@
 """The pipeline against a brute-force version of its stages, and the contracts in SQL."""
 
 import hashlib
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +11,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from test_llm import ITEM, SCHEMA, WHITE, contaminated, corpus, jaccard_classes, kept_by_rules  # noqa: E402
 
-from vectide.llm import bpe_codec  # noqa: E402
+from vectide.llm import bpe_codec, ngram_join, scratch  # noqa: E402
+from vectide.llm import bytescan as bs  # noqa: E402
 
 
 def rows_of():
@@ -91,6 +94,42 @@ def test_results_of_stages_outlive_other_stages(spark, tmp_path):
     assert all(x.count() <= 20 for x in second)
 
 
+def test_shuffle_files_go_with_their_write(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x.getPath()) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if "/shuffle_" in f}
+    before, was = files(), spark.conf.get(scratch.CLEANUP)
+    rows = spark.range(20000).repartition(3).selectExpr("id", "id % 100 AS k")
+    out = scratch.materialise(rows.join(rows.groupBy("k").count(), "k").distinct(), "shuffled")
+    end = time.time() + 5
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(scratch.CLEANUP) == was
+    assert out.count() == 20000
+
+
+def test_workers_keep_little_between_operators():
+    bs.powers(3 << 20)
+    c = bpe_codec.codec(None)
+    bs.release("bpe_codec")
+    assert len(bs._powers.get("p", ())) <= bs.POWERS and bpe_codec.codec(None) is c
+    bs.release()
+    assert not bpe_codec._codecs
+    h = bs.powers(100)
+    assert (h[0] * h[1] == 1).all()
+
+
+def test_members_of_a_large_group_are_compared_in_slabs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 20000, 40)) for _ in range(1024)]
+    every = np.arange(1024)
+    tracemalloc.start()
+    got = ngram_join._common(sets, every, every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, 1024, 64) for j in range(1, 1024, 32))
+    assert peak < 48 << 20
+
+
 def test_words_of_the_contracts():
     assert WHITE.findall(b"a\x0bb\x1cc\x00") == [b"a", b"b\x1cc\x00"]
     assert ITEM.findall("a-b9é_c".encode()) == [b"a", b"b9\xc3\xa9", b"c"]

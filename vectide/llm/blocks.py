@@ -148,6 +148,7 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes | None]])
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         found = reply(table.column("body").to_pylist())
+        bs.release()
         keep = pa.array([x is not None for x in found])
         return pa.table({"block": table.column("block"), "part": table.column("part"), "body": pa.array(found, pa.binary())}, schema=MAIL_ARROW).filter(keep)
 

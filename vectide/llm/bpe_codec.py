@@ -279,7 +279,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = bs.kept_by("bpe_codec")
 
 
 def codec(path: str | None) -> Codec:
@@ -309,7 +309,7 @@ def encode_batch(c: Codec, column, every: int) -> Iterator[tuple[np.ndarray, np.
                 whole = c.library.encode(text.decode(), add_special_tokens=False).ids
                 own, back = np.array(whole, np.uint16), c.library.decode(whole, skip_special_tokens=False).encode()
             yield own, back
-        bs.release()
+        bs.release("bpe_codec")
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, every: int = CHUNK_BYTES, with_ids: bool = True) -> DataFrame:

@@ -20,14 +20,32 @@ _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text handled at once; bounds the memory of the NumPy work arrays.
 SLICE_BYTES = 1 << 20
+#: Powers of the base that stay in a worker.
+POWERS = SLICE_BYTES + 4096
 
 
 _libc = None
 
+#: What an operator keeps in a worker between its tasks, by the operator's name.
+_kept: dict[str, dict] = {}
 
-def release() -> None:
-    """Give freed memory back: Python workers live on between tasks, and share the executor's memory."""
+
+def kept_by(operator: str) -> dict:
+    """A table that outlives tasks, until another operator runs in the worker."""
+    return _kept.setdefault(operator, {})
+
+
+def release(operator: str = "") -> None:
+    """Give freed memory back: Python workers live on between tasks, and share the executor's memory.
+
+    So go long tables of powers, and what operators other than ``operator`` keep.
+    """
     global _libc
+    if len(_powers.get("p", ())) > POWERS:
+        _powers.clear()
+    for name, kept in _kept.items():
+        if name != operator:
+            kept.clear()
     pa.default_memory_pool().release_unused()
     if _libc is None:
         try:
@@ -61,7 +79,7 @@ ALNUM_LOWER[0x80:] = np.arange(0x80, 0x100)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = max(n, POWERS)
         for key, base in (("p", BASE), ("i", pow(BASE, -1, 1 << 64))):
             out = np.empty(size, U)
             out[0], made, step = 1, 1, base

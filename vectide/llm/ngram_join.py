@@ -45,6 +45,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_BANDS = 36
 #: Distinct texts, and their n-grams, of a cell that are compared with as many others at once.
 PIECE, PIECE_GRAMS = 1024, 1 << 20
+#: Numbers of a matrix of sets by members.
+SLAB = 2 << 20
 #: Bytes of n-gram hashes of a hash part.
 PART_BYTES = 16 << 20
 ADDED = ("class_id", "n_links", "set_key")
@@ -96,6 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.release()
         for batch in batches:
             for i, j, s, r in _sets(batch.column(1), n):
                 m = j - i
@@ -143,7 +146,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     place_r = np.full(len(sets), -1)
     place_r[right] = np.arange(len(right))
     common = np.zeros((len(left), len(right)), np.float32)
-    step = max(256, (8 << 20) // max(len(left), len(right), 1))
+    step = max(256, SLAB // max(len(left), len(right), 1))
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     for at in range(0, width, step):
@@ -242,6 +245,7 @@ def _classes(docs: DataFrame, rows_of: DataFrame, id_col: str, text_col: str, n:
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cell", "a", "b"), F.lit(parts)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
+        bs.release()
         table = table.sort_by([(c, "ascending") for c in ("cell", "a", "b", "key", "side")])
         key, cell, a, b, side, count = (table.column(c).to_numpy() for c in ("key", "cell", "a", "b", "side", "count"))
         keys, links, roots = [], [], []
