@@ -541,3 +541,50 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 100
+
+
+# search by bounds
+
+
+def test_hits_by_bounds_are_those_of_all_walks(spark, monkeypatch):
+    x = np.round(np.random.default_rng(8).normal(size=(240, 4)), 1)  # ties
+    df = frame(spark, x)
+    q = as_queries(df.where("vec_id % 7 = 0"))
+    book = pq.first_rows_codebook(df, 2, 16)
+    nodes = search.build_nodes(store.assign_segments(df, 30), graph.BuildConfig(degree=3, builder="vamana", beam=4, max_visits=8), book).persist()
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rk", "vec_id", "dist").collect()))
+    walks, whole = [], graph.beam_search
+    for visits, codes in ((2, None), (30, None), (12, book)):  # 2 visits: most walks miss the nearest
+        config = graph.SearchConfig(6, 3, visits)
+        sent = (*next(knn.query_blocks(q, "qid", "embedding")), None if codes is None else pq.codebook_array(codes), config)
+
+        def walk(table):
+            return search._search_segment(table, *sent)  # noqa: B023
+
+        per_segment = nodes.groupBy("segment_id").applyInArrow(walk, search._FOUND)
+        assert rows(search.ann_search(nodes, q, config, codes)[0]) == rows(search.summaries(per_segment, 6)[0])
+    nodes.unpersist()
+    # a segment with nothing within the bound is not walked at all
+    monkeypatch.setattr(graph, "beam_search", lambda *a: walks.append(a) or whole(*a))
+    t = search.build_nodes(store.assign_segments(df, 240), graph.BuildConfig(degree=239)).toArrow()
+    x = knn.matrix(t.column("embedding"))  # as floats
+    near = ((x[:, None] - x[None]) ** 2).sum(-1)
+    found = search._hits_within(t, np.arange(20), x[:20] + 50, None, np.full(20, 1.0), graph.SearchConfig(5, 0, 240))
+    assert not walks and found.num_rows == 0
+    found = search._hits_within(t, np.arange(20), x[:20], None, np.sort(near[:20], 1)[:, 4], graph.SearchConfig(5, 0, 240))
+    assert len(walks) == 20 and found.num_rows == 100
+
+
+@pytest.mark.parametrize("prune", ["sparse", "standard"])
+def test_graphs_from_a_table_of_distances_are_the_same(monkeypatch, prune):
+    x = np.random.default_rng(9).normal(size=(120, 8))
+    x[40:45] = x[3]
+    config = graph.BuildConfig(degree=6, builder="vamana", beam=12, max_visits=40, prune=prune)
+    fast, search_config = graph.build(x, config), graph.SearchConfig(5, 10, 60)
+    hits = [graph.beam_search(x, *fast, q, search_config) for q in x[:9] + 0.1]
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    slow = graph.build(x, config)
+    assert np.array_equal(fast[0], slow[0]) and fast[1] == slow[1]
+    for a, q in zip(hits, x[:9] + 0.1):
+        b = graph.beam_search(x, *fast, q, search_config)
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and a[2:] == b[2:]

@@ -14,6 +14,9 @@ import numpy as np
 
 from .knn import brute_graph
 
+#: Vectors of the largest segment whose distances (to a query, or of all pairs in construction) are worked out at once.
+WHOLE = 1024
+
 
 @dataclass(frozen=True)
 class BuildConfig:
@@ -101,6 +104,8 @@ def vamana_graph(x: np.ndarray, config: BuildConfig) -> tuple[list[np.ndarray],
         others = rng.choice(n - 1, min(degree, n - 1), replace=False) if n > 1 else np.zeros(0, np.int64)
         graph.append(others + (others >= i))
     entry = sampled_medoid(x, rng)
+    if n <= WHOLE:
+        return _vamana_of_table(x, graph, entry, config), entry
     for i in range(n):
         found = greedy_search(x, graph, entry, x[i], config.beam, config.max_visits)
         graph[i] = np.array(robust_prune(x, i, [v for _, v in found], degree, config.alpha, config.prune), np.int64)
@@ -111,6 +116,44 @@ def vamana_graph(x: np.ndarray, config: BuildConfig) -> tuple[list[np.ndarray],
     return graph, entry
 
 
+def _vamana_of_table(x: np.ndarray, graph: list[np.ndarray], entry: int, config: BuildConfig) -> list[np.ndarray]:
+    """The same pass with all distances of a small segment worked out once."""
+    n, degree, alpha, sparse = len(x), config.degree, config.alpha, config.prune == "sparse"
+    table = [_to(x, slice(None), q).tolist() for q in x]
+    lists = [g.tolist() for g in graph]
+
+    def prune(node: int, candidates: list[int]) -> list[int]:
+        own, kept = table[node], []
+        rest = sorted((own[c], c) for c in set(candidates) if c != node)
+        while rest and len(kept) < degree:
+            u = rest[0][1]
+            kept.append(u)
+            between = table[u]
+            rest = [at for at in rest[1:] if not (alpha * at[0] > between[at[1]] if sparse else alpha * between[at[1]] <= at[0])]
+        return kept
+
+    def walk(q: int) -> list[int]:
+        own, seen, expanded = table[q], bytearray(n), []
+        seen[entry] = True
+        heap = [(own[entry], entry)]
+        while heap and len(expanded) < config.max_visits:
+            at = heapq.heappop(heap)
+            expanded.append(at)
+            for v in lists[at[1]]:
+                if not seen[v]:
+                    seen[v] = True
+                    heapq.heappush(heap, (own[v], v))
+        return [v for _, v in sorted(expanded)[: config.beam]]
+
+    for i in range(n):
+        lists[i] = prune(i, walk(i))
+        for u in lists[i]:
+            if i not in lists[u]:
+                more = [*lists[u], i]
+                lists[u] = more if len(more) <= degree else prune(u, more)
+    return [np.array(g, np.int64) for g in lists]
+
+
 def build(x: np.ndarray, config: BuildConfig) -> tuple[np.ndarray, int]:
     """(neighbours [row, degree], padded with the own row; entry)."""
     n = len(x)
@@ -131,45 +174,54 @@ def build(x: np.ndarray, config: BuildConfig) -> tuple[np.ndarray, int]:
     return out, 0 if config.entry == "zero" else entry
 
 
-def beam_search(x: np.ndarray, neighbors: np.ndarray, entry: int, q: np.ndarray, config: SearchConfig, adc: tuple[np.ndarray, np.ndarray] | None = None):
+def beam_search(x: np.ndarray, neighbors: np.ndarray, entry: int, q: np.ndarray, config: SearchConfig, adc: tuple[np.ndarray, np.ndarray] | None = None, wanted: set[int] | None = None):
     """(rows, distances, visited, pq distances) of a best-first search.
 
     The frontier is ordered by (distance, row): exact distances, or those of the
     table ``adc`` = (table [m, k], codes [row, m]). Visited rows are ranked by
-    exact distance. The search ends with the frontier or at ``max_visits``.
+    exact distance. The search ends with the frontier or at ``max_visits``, or
+    when it has visited all of ``wanted``, the only rows that matter to the caller.
     """
-    n = len(x)
-    visited = np.zeros(n, bool)
-    waiting = np.zeros(n, bool)
+    n, beam = len(x), config.beam
+    exact = _to(x, slice(None), q) if n <= WHOLE else None
+    parts = None if adc is None else np.arange(len(adc[0]))
+    near = exact if adc is None else adc[0][parts[None, :], adc[1]].sum(1) if n <= WHOLE else None
+    near = None if near is None else near.tolist()
+    visited, waiting = bytearray(n), bytearray(n)
     frontier = [(float(_to(x, entry, q)), int(entry))]
+    left = None if wanted is None else set(wanted)
     order: list[int] = []
     pq = 0
-    parts = None if adc is None else np.arange(len(adc[0]))
     while frontier and len(order) < config.max_visits:
         d, v = frontier.pop(0)
         if not 0 <= v < n or visited[v]:
             continue
         visited[v] = True
         order.append(v)
-        new = neighbors[v]
-        new = new[(new >= 0) & (new < n)]
-        new = new[~visited[new]]
-        if config.dedupe:
-            new = np.unique(new[~waiting[new]])
-            waiting[new] = True
-        if len(new):
-            if adc is None:
-                dist = _to(x, new, q)
+        if left is not None:
+            left.discard(v)
+            if not left:
+                break
+        new = neighbors[v].tolist()
+        new = [u for u in (set(new) if config.dedupe else new) if 0 <= u < n and not visited[u] and not waiting[u]]
+        if new:
+            if near is not None:
+                dist = [near[u] for u in new]
+            elif adc is None:
+                dist = _to(x, new, q).tolist()
             else:
-                dist = adc[0][parts[None, :], adc[1][new]].sum(1)
-                pq += len(new)
-            for at in zip(dist.tolist(), new.tolist()):
+                dist = adc[0][parts[None, :], adc[1][new]].sum(1).tolist()
+            pq += 0 if adc is None else len(new)
+            for at in zip(dist, new):
+                if beam and len(frontier) >= beam and at > frontier[beam - 1]:
+                    continue  # would be cut off below
                 bisect.insort(frontier, at)
-        if config.beam and len(frontier) > config.beam:
-            if config.dedupe:
-                waiting[[u for _, u in frontier[config.beam :]]] = False
-            frontier = frontier[: config.beam]
+                waiting[at[1]] = config.dedupe
+        if beam and len(frontier) > beam:
+            for _, u in frontier[beam:]:
+                waiting[u] = False
+            del frontier[beam:]
     rows = np.array(order, np.int64)
-    dist = _to(x, rows, q) if len(rows) else np.zeros(0)
+    dist = (_to(x, rows, q) if exact is None else exact[rows]) if len(rows) else np.zeros(0)
     best = np.lexsort((rows, dist))[: config.top_k]
     return rows[best], dist[best], len(order), pq

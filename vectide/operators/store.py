@@ -276,4 +276,6 @@ class Store:
         return gone
 
     def search(self, queries: DataFrame, config: graph.SearchConfig = graph.SearchConfig(), codebook: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        return search.summaries(search.search_files(self.files(), queries, config, codebook), config.top_k)
+        """(hits, stats); each is a search of its own, and only stats need the walks that find nothing."""
+        _, stats = search.summaries(search.search_files(self.files(), queries, config, codebook), config.top_k)
+        return search.hits_of_files(self.files(), self.vectors(), queries, config, codebook), stats
