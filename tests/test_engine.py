@@ -4,6 +4,7 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -618,3 +619,18 @@ def test_many_pairs_are_not_rows(spark, monkeypatch):
     many = knn.exact_knn_sql(q, df, 5)
     assert "NestedLoopJoin" not in plan(many) and "CartesianProduct" not in plan(many)
     assert rows(many) == rows(few)
+
+
+def test_complete_graphs_are_walked_where_a_hit_can_be(monkeypatch):
+    x = np.random.default_rng(12).normal(size=(400, 6)).astype(np.float32).astype(float)
+    q, walks, found, whole = x[::20], [], [], graph.beam_search
+    dist = np.stack([((x - own) ** 2).sum(-1) for own in q])
+    reach = np.sort(dist, 1)[:, 4]
+    monkeypatch.setattr(graph, "beam_search", lambda *a: walks.append(a) or whole(*a))
+    for s in range(40):
+        own = x[s * 10 : s * 10 + 10]
+        lists, entry = graph.build(own, graph.BuildConfig(degree=9, builder="brute"))
+        t = pa.table({"segment_id": [s] * 10, "local_id": np.arange(10), "vec_id": np.arange(10) + s * 10, "embedding": list(own), "neighbors": list(lists), "is_entry": np.arange(10) == entry})
+        found += search._hits_within(t, np.arange(20), q, None, reach, graph.SearchConfig(5, 0, 10)).to_pylist()
+    assert len(walks) <= 20 * 5  # of 20 x 40
+    assert {(h["qid"], h["vec_id"]) for h in found} == {(i, int(v)) for i in range(20) for v in np.argsort(dist[i])[:5]}
